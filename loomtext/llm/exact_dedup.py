@@ -127,11 +127,13 @@ def mark(docs: DataFrame, *, filter_bits: int = FILTER_BITS, digest_all: bool =
         .withColumn("_row", F.monotonically_increasing_id()),
         "exact-keys",
     )
-    groups = (
+    # written, so that the join below has a plain exchange on either side, which can be split where skewed
+    groups = materialize(
         rows.groupBy("_key")
         .agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "_row")).alias("best"))
         .where("n > 1")
-        .select(F.col("_key").alias("k"), "n", "best")
+        .select(F.col("_key").alias("k"), "n", "best"),
+        "exact-groups",
     )
     alone = F.col("best").isNull()
     return rows.join(groups, F.col("_key") == F.col("k"), "left").select(
