@@ -18,6 +18,10 @@ of itself, and those that share a value are within two bits of each other. Such
 group has at most 65 members and is linked through its least one. Two fingerprints
 within two bits always share such a value, so no link is lost.
 
+Keys are counted with map-side aggregation. A key of two fingerprints carries the pair
+in its least and greatest value; members of keys with more are made once more, behind a
+bitmap of fixed size, so that only they are shuffled again.
+
 Components come from star rounds over a written edge table. Nothing is gathered to
 the driver.
 
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -43,6 +47,7 @@ from .graph import connected_components
 
 SHINGLE_WORDS = 3
 BUCKET = 24
+FILTER_BITS = 1 << 26
 
 
 def fingerprint(raw: bytes | None, shingle: int = SHINGLE_WORDS, seed: int = 42) -> int:
@@ -87,6 +92,46 @@ def _variants(fps: DataFrame) -> DataFrame:
     )
 
 
+def _slot(key: Column) -> Column:
+    """A place in the filter for a key; _shared() computes the same."""
+    segment, k = key.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(key, 32)
+    return segment.bitwiseXOR(F.shiftrightunsigned(segment, 13)).bitwiseXOR(F.shiftleft(k, 20)).bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def _filter(keys: DataFrame) -> bytes:
+    """A bitmap of fixed size, whatever the number of keys: at most 8 MB, in 4 KB rows."""
+    slot = _slot(F.col("key")) + 1
+    rows = (
+        keys.select(slot.alias("slot"))
+        .groupBy(F.expr("bitmap_bucket_number(slot)").alias("block"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+        .collect()
+    )
+    bits = bytearray(FILTER_BITS // 8)
+    for row in rows:
+        bits[(row["block"] - 1) * 4096 : row["block"] * 4096] = bytes(row["bits"])
+    return bytes(bits)
+
+
+def _shared(fps: DataFrame, bits: bytes) -> DataFrame:
+    """The variants (key, fp) whose key may be in the filter; the others go unshuffled."""
+    held = fps.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            for k in range(64):
+                segment = (fp >> np.uint64(32 * (k // 32))) & np.uint64(0xFFFFFFFF & ~(1 << k % 32))
+                slot = (segment ^ (segment >> np.uint64(13)) ^ np.uint64(k << 20)) & np.uint64(FILTER_BITS - 1)
+                hit = (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                if hit.any():
+                    key = (segment[hit] | np.uint64(k << 32)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[hit].view(np.int64))], names=["key", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "key long, fp long")
+
+
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) whose closure links all distinct fp within two bits of each other."""
     groups = materialize(
@@ -95,8 +140,9 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
     near = F.expr("bit_count(a ^ b) <= 2")
     two = groups.where("n = 2").where(near).select("a", "b").distinct()
+    shared = groups.where("n > 2").select(F.col("key").alias("k"), "n")
     more = materialize(
-        _variants(fps).join(groups.where("n > 2").select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k")).select("key", "fp", "n"),
+        _shared(fps, _filter(shared.select(F.col("k").alias("key")))).join(shared, F.col("key") == F.col("k")).select("key", "fp", "n"),
         "simhash-members",
     )
     warm = more.where(F.col("n") <= bucket)
