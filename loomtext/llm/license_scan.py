@@ -10,7 +10,8 @@ A match votes for its diagonal, document position less template position. Votes
 diagonal, and on neighbouring ones up to `DRIFT` apart (an inserted or lost word shifts
 the rest of a text), merge into spans while their gaps stay under `GAP` words. A span is
 verified by the share of the template's words that its matches cover: short phrases have
-to match whole, longer texts by `COVER`.
+to match whole, longer texts by `COVER`. Of longer texts whose spans overlap, those with
+the most votes stay.
 
 The base phrases are templates like the rest; their places are whole matches on one
 diagonal. Labels of longer texts come on top and never remove a base label.
@@ -101,11 +102,21 @@ def spans(found: DataFrame, k: int = K) -> DataFrame:
     )
     runs = found.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_place))
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + k - 1)))))
-    return (
+    whole = (
         runs.groupBy("doc_id", "row", "template", "label", "base", "size", "run")
-        .agg(F.min("pos").alias("start"), (F.max("pos") + k - 1).alias("last"), covered.alias("covered"))
+        .agg(F.min("pos").alias("start"), (F.max("pos") + k - 1).alias("last"), F.count("*").alias("votes"), covered.alias("covered"))
         .withColumn("share", F.col("covered") / F.col("size"))
         .where(F.when(F.col("base"), F.col("covered") == F.col("size")).otherwise(F.col("share") >= COVER))
+    )
+    # spans that overlap compete: the most votes win, and base phrases always stay
+    in_order = W.partitionBy("row").orderBy("start", "last", "template").rowsBetween(W.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("start") > F.max("last").over(in_order), F.lit(True))
+    grouped = whole.withColumn("apart", apart.cast("int")).withColumn(
+        "cluster", F.sum("apart").over(W.partitionBy("row").orderBy("start", "last", "template").rowsBetween(W.unboundedPreceding, 0))
+    )
+    return (
+        grouped.withColumn("most", F.max("votes").over(W.partitionBy("row", "cluster")))
+        .where("base OR votes = most")
         .select("doc_id", "row", "template", "label", "base", "start", "last", "share")
     )
 

@@ -16,7 +16,8 @@ replacement text that carries source offsets along:
 
 The base patterns then run on the normalised text, and matches that contain a changed
 character are mapped back to the source characters that they came from. They are added
-where they touch no base span; base spans always stay.
+where they touch no base span, or hold whole base spans of their own kind with more
+around them; base spans always stay.
 
 A text that shows none of the signs of a disguise is not normalised at all. Work is
 per text, in Arrow batches, without a shuffle, so nothing is skewed by a hot group.
@@ -39,8 +40,9 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 RUN = 7
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -61,15 +63,43 @@ def _is_card(match: str) -> bool:
     return 14 <= len(digits) <= 19 and luhn(digits)
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+, found from each @ in linear time."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        domain = _DOMAIN.match(text, at + 1)
+        if domain:
+            start = at
+            while start > free and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < at:
+                free = domain.end()
+                yield start, free
+        at = text.find("@", max(at + 1, free))
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Fours of numbers joined by dots, from the left of each chain; parts at most 255."""
+    for chain in _DOTTED.finditer(text):
+        parts = chain[0].split(".")
+        at = chain.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p) <= 3 or len(p.lstrip("0")) <= 3 for p in four) and all(int(p.lstrip("0") or 0) <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end), sorted."""
     out = []
     # a cheap look for a character that every match has
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
+        out += [(a, 0, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out += [(a, 1, b) for a, b in _ips(text)]
         out += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if m.end() - m.start() >= 14 and _is_card(m[0])]
         if "+" in text:
             out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15]
@@ -111,15 +141,17 @@ _SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD}|[+(]{{0,2}}[0-9]+)(?:{_SEP
 _TOKEN = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD})(?!\w)", re.I)
 _TWO_WORDS = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD}){_SEP}(?:{_NUMBER_WORD})(?!\w)", re.I)
 
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]\s*", re.I)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*", re.I)
+_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@|ät|arroba|arobase)\s{0,3}[\])}>]\s{0,3}", re.I)
+_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.|punkt|point|punto)\s{0,3}[\])}>]\s{0,3}", re.I)
 _ENDINGS = "com|org|net|edu|gov|info|io|dev|app|biz|name|example|test|co|uk|us|eu|de|fr|es|it|nl|ch|at|be|ca|au|jp"
 _PLAIN = re.compile(
-    rf"(?<![\w.@])[A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9._%+-]+)*(\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\s*\.\s*)[A-Za-z0-9-]+)*?(?:\s+dot\s+|\.)(?:{_ENDINGS})(?!\w)", re.I
+    rf"(?<![\w.@%+-])[A-Za-z0-9._%+-]++(?:\s{{1,3}}dot\s{{1,3}}[A-Za-z0-9._%+-]++){{0,4}}(\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})"
+    rf"[A-Za-z0-9-]++(?:(?:\s{{1,3}}dot\s{{1,3}}|\s{{0,3}}\.\s{{0,3}})[A-Za-z0-9-]++){{0,6}}?(?:\s{{1,3}}dot\s{{1,3}}|\.)(?:{_ENDINGS})(?!\w)",
+    re.I,
 )
 _PLAIN_AT = re.compile(r"\s+at\s+|\s*@\s*", re.I)
 _PLAIN_DOT = re.compile(r"\s+dot\s+|\s*\.\s*", re.I)
-_SIGNS = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|ät|arroba|arobase|punkt|point|punto)\s*[\])}>]|\bdot\b|\s@|@\s", re.I)
+_SIGNS = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|\.|ät|arroba|arobase|punkt|point|punto)\s{0,3}[\])}>]|\bdot\b|\s@|@\s", re.I)
 
 
 class Mapped:
@@ -224,16 +256,20 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     mapped = normalise(text)
     if mapped is None or not any(mapped.changed) and len(mapped.text) == len(text):
         return base, base
-    more = []
-    taken = bytearray(len(text))
+    more, taken = [], [bytearray(len(text)) for _ in range(2)]  # by base spans, by added ones
     for s, _, e in base:
-        taken[s:e] = b"\1" * (e - s)
+        taken[0][s:e] = b"\1" * (e - s)
     for s, kind, e in base_spans(mapped.text):
         a, b = mapped.start[s], max(mapped.end[s:e])
         touched = any(mapped.changed[s:e]) or b - a != e - s
-        if touched and not any(taken[a:b]):
-            more.append((a, kind, b))
-            taken[a:b] = b"\1" * (b - a)
+        if not touched or any(taken[1][a:b]):
+            continue
+        if any(taken[0][a:b]):  # beside base spans only where it has whole ones of its kind in it
+            inner = [(x, k, y) for x, k, y in base if x < b and y > a]
+            if any(k != kind or x < a or y > b or (x, y) == (a, b) for x, k, y in inner):
+                continue
+        more.append((a, kind, b))
+        taken[1][a:b] = b"\1" * (b - a)
     return base, sorted(base + more)
 
 

@@ -186,15 +186,21 @@ f AS (
 ),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY p, a ROWS UNBOUNDED PRECEDING) AS run FROM f),
 s AS (
-  SELECT doc_id, template, label, base, size, run, min(p) AS start, count(DISTINCT x) AS covered, count(DISTINCT x) / size AS share
+  SELECT doc_id, template, label, base, size, run, min(p) AS start, max(p) + 2 AS last, count(DISTINCT a) AS votes, count(DISTINCT x) / size AS share
   FROM (SELECT *, unnest(range(a, a + 3)) AS x FROM r) GROUP BY doc_id, template, label, base, size, run
   HAVING CASE WHEN base THEN count(DISTINCT x) = size ELSE count(DISTINCT x) / size >= {COVER} END
 ),
+g AS (
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY start, last, template ROWS UNBOUNDED PRECEDING) AS cluster FROM (
+    SELECT *, CASE WHEN start <= max(last) OVER (PARTITION BY doc_id ORDER BY start, last, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS apart
+    FROM s)
+),
+b AS (SELECT * FROM (SELECT *, max(votes) OVER (PARTITION BY doc_id, cluster) AS most FROM g) WHERE base OR votes = most),
 o AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
          string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
-  FROM s GROUP BY doc_id
+  FROM b GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
