@@ -14,6 +14,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _scored(found: DataFrame, held_out, threshold: float) -> DataFrame:
+    predicted = F.when(F.col("score") >= threshold, 1).otherwise(0)
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = documents(spark, sf_dir)
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", (~language_id.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = documents(spark, sf_dir)
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return _scored(found, ~quality.learnable(F.col("doc_id")), quality.THRESHOLD)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = documents(spark, sf_dir)
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return _scored(found, ~toxicity.learnable(F.col("doc_id")), toxicity.THRESHOLD)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -211,12 +240,15 @@ FROM d LEFT JOIN o USING (doc_id)
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }
 
