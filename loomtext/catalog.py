@@ -1,4 +1,10 @@
 """Every query by name, with its oracle SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans import q_style
+
+_MODULES = (q_style,)
+
+QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
