@@ -138,23 +138,23 @@ OP3_SQL = r"""
 WITH l AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
 ),
-e AS (SELECT doc_id, unnest(range(0, len(ls))) AS at, unnest(ls) AS raw FROM l),
-s AS (SELECT doc_id, at, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM e),
+e AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS raw FROM l),
+s AS (SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM e),
 w AS (
-  SELECT doc_id, at AS start, lead(at, 2) OVER o AS last, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS c
-  FROM s WHERE line <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY at)
+  SELECT doc_id, pos AS start, lead(pos, 2) OVER o AS last, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS c
+  FROM s WHERE line <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ),
 r AS (
   SELECT doc_id, start, last, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, start) AS nth
   FROM w WHERE c IS NOT NULL
 ),
-gone AS (SELECT DISTINCT doc_id, unnest(range(start, last + 1)) AS at FROM r WHERE nth > 1),
-island AS (SELECT doc_id, at, at - row_number() OVER (PARTITION BY doc_id ORDER BY at) AS i FROM gone),
-span AS (SELECT doc_id, min(at) AS a, max(at) AS z FROM island GROUP BY doc_id, i),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, last + 1)) AS pos FROM r WHERE nth > 1),
+island AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM gone),
+span AS (SELECT doc_id, min(pos) AS a, max(pos) AS z FROM island GROUP BY doc_id, i),
 spans AS (SELECT doc_id, string_agg(a || ':' || z, ',' ORDER BY a) AS removed, sum(z - a + 1) AS n FROM span GROUP BY doc_id),
 kept AS (
-  SELECT doc_id, string_agg(raw, chr(10) ORDER BY at) AS text
-  FROM e ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id
+  SELECT doc_id, string_agg(raw, chr(10) ORDER BY pos) AS text
+  FROM e ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
        CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed
