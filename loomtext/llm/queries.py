@@ -65,12 +65,15 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
 
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     def digest(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        *[count(kind) for kind in pii.KINDS],
         F.sha2(digest(base), 256).alias("base_sha256"),
         digest(F.col("spans")).alias("spans"),
         F.size("spans").cast("long").alias("n_all"),
