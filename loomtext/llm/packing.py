@@ -21,7 +21,7 @@ because no sequence crosses partitions.
 
 Token ids come from a vocabulary file whose pre-tokeniser never joins characters
 across white space, so ids are made once per distinct white-space-free piece and kept
-in a bounded cache.
+in a bounded cache that the tasks of a Python worker share.
 
 Defined results: null and empty texts are a document of the end id alone. Rows that
 repeat a doc_id are documents of their own, in the order of the input. Other columns
@@ -30,6 +30,9 @@ are not looked at; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -43,8 +46,9 @@ END_ID = 2
 SENTENCE, HARD, EACH = 8, 48, 16
 BLOCK = 1 << 20
 GAP, STEP = 512, 256
-CACHE = 400_000
+CACHE = 600_000
 VOCABULARY = "word_bpe_49k.json"
+_MARK = re.compile(rb"[.,!?;:](?<=[a-z].)(?=[\x20\x09-\x0d])")  # a single mark right after a letter
 
 
 class Encoder:
@@ -62,31 +66,74 @@ class Encoder:
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
-        stops = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and set(t[:-4]) & set(".!?") and not any(c.isalnum() for c in t[:-4])]
+        self.older: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        stops = [i for t, i in vocabulary.items() if t.endswith("</w>") and set(t[:-4]) & set(".!?") and not any(c.isalnum() for c in t[:-4])]
         stops += [e.ids[-1] for e in self.tokenizer.encode_batch(["。", "！", "？", "…"], add_special_tokens=False) if e.ids]
-        self.stops = np.zeros(max(self.tokenizer.get_vocab_size(), max(stops) + 1), bool)
+        self.stops, self.final = np.zeros(size, bool), np.zeros(size, bool)
         self.stops[stops] = True
-
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new pieces. Plain words go to the tokeniser many at a time.
+
+        A piece of letters is one word to the tokeniser, and a word's last token is marked,
+        so the ids of a row of words fall apart at the marks. Where their number differs,
+        the words are encoded one by one.
+        """
+        out: dict[bytes, bytes] = {}
+        words, rest = [], []
+        for p in pieces:
+            t = p.decode("utf-8", "replace")
+            (words if t.isalpha() else rest).append((p, t))
+        for at in range(0, len(words), 4096):
+            row = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in row])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(row):
+                rest += row
+                continue
+            raw, begin = ids.tobytes(), 0
+            for (p, _), end in zip(row, (4 * ends).tolist()):
+                out[p] = raw[begin:end]
+                begin = end
+        if rest:
+            out.update(zip([p for p, _ in rest], self._each([t for _, t in rest])))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # bytes split at ASCII white space only
-        cache = self.cache
-        new = list({p for pieces in split for p in pieces if p not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({p for pieces in split for p in pieces})
+        # Case and a space before closing marks make no difference to the tokeniser, but
+        # fewer distinct pieces; texts that may hold special tokens are left alone.
+        split = [(t if b"<|" in t else _MARK.sub(rb" \g<0>", t.lower())).split() for t in texts]  # at ASCII white space only
+        if len(self.cache) > CACHE:  # two generations: what is still in use is carried over
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        new = []
+        for p in set().union(*split) - cache.keys():
+            ids = older.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                cache[p] = ids
         if new:
-            cache.update(zip(new, self._ids(new)))
-        out = [b"".join([cache[p] for p in pieces]) for pieces in split]
+            cache.update(self._ids(new))
+        out = [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
         for p in new:
             if len(p) > 64:  # long pieces are seldom met again
                 del cache[p]
         return out
 
 
+@functools.cache
+def encoder(path: str | None = None) -> Encoder:
+    """One encoder a process: its cache serves all tasks that the process runs."""
+    return Encoder(path)
+
+
 def plan(at: list[int], penalty: list[int], limit: int = LIMIT) -> list[int]:
     """The cheapest cuts, as indexes into `at` after the first, ending with the last.
 
@@ -222,8 +269,8 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, limit: int = LIM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer_path)
-        packer = Packer(encoder.stops, limit, TaskContext.get().partitionId() << 40)
+        own = encoder(tokenizer_path)
+        packer = Packer(own.stops, limit, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4").tobytes()
 
         def rows(pieces: list[tuple]) -> pa.RecordBatch:
@@ -233,7 +280,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, limit: int = LIM
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = encoder.encode([x or b"" for x in part.column("_raw").to_pylist()])
+                ids = own.encode([x or b"" for x in part.column("_raw").to_pylist()])
                 for doc_id, got in zip(part.column("doc_id").to_pylist(), ids):
                     packer.add(doc_id, got + end)
                     if packer.size >= block and (out := packer.flush(False)):
