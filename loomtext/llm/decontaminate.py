@@ -101,6 +101,8 @@ def candidates(items: DataFrame, index: DataFrame, window: int = WINDOW) -> Data
     need = need.groupBy("item").agg(F.collect_set("need").alias("needs"))
     need = need.join(items.select("item", F.size("words").alias("size")), "item")
     points = chosen.select("item", "term", "offset").distinct()
+    if chosen.count() <= BROADCAST_TERMS:  # the postings then meet them where they are read
+        points = F.broadcast(points)
     met = (
         index.join(points, "term")
         .select("doc_id", "item", (F.col("pos") - F.col("offset")).alias("delta"), "offset")
