@@ -97,8 +97,8 @@ def merge_acts(acts: list[dict], source_length: int, per_key: int = 2) -> list[d
 
 def within_chapters(events: Column, last: int, pattern: str = "^第([0-9]+)") -> Column:
     """Events whose chapter prefix is at most last; events without one stay."""
-    number = lambda e: F.regexp_extract(e, pattern, 1)
-    return F.filter(events, lambda e: (number(e) == "") | (F.expr("1").isNotNull() & (F.when(number(e) != "", number(e).cast("int")) <= last)))
+    number = lambda e: F.nullif(F.regexp_extract(e, pattern, 1), F.lit(""))
+    return F.filter(events, lambda e: number(e).isNull() | (number(e).cast("int") <= last))
 
 
 def first_seen_within(chapter: Column, last: int) -> Column:
@@ -107,8 +107,8 @@ def first_seen_within(chapter: Column, last: int) -> Column:
 
 def score_0_100(value: Column) -> Column:
     """An integer from 0 to 100; 50 where there is none."""
-    number = F.expr("try_cast(_v as double)") if isinstance(value, str) else value.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.round(number).cast("int"))), F.lit(50))
+    number = F.round(value.try_cast("double")).cast("int")
+    return F.when(number.isNull(), 50).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), number)))
 
 
 def any_dimension_set(dims: Column) -> Column:
