@@ -48,6 +48,7 @@ BLOCK = 1 << 20
 GAP, STEP = 512, 256
 CACHE = 600_000
 VOCABULARY = "word_bpe_49k.json"
+_PLAIN = re.compile(rb"[a-z]{1,64}")
 _MARK = re.compile(rb"[.,!?;:](?<=[a-z].)(?=[\x20\x09-\x0d])")  # a single mark right after a letter
 
 
@@ -79,17 +80,22 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new pieces. Plain words go to the tokeniser many at a time.
+        """Ids of new pieces. Plain words take short cuts.
 
-        A piece of letters is one word to the tokeniser, and a word's last token is marked,
-        so the ids of a row of words fall apart at the marks. Where their number differs,
-        the words are encoded one by one.
+        A word of a-z is what the steps before the merges would leave of it, so it goes to
+        the merges alone. Another piece of letters is still one word to the tokeniser, and
+        a word's last token is marked, so a row of words is encoded at once and falls apart
+        at the marks. Where their number differs, the words are encoded one by one.
         """
         out: dict[bytes, bytes] = {}
         words, rest = [], []
+        merge = self.tokenizer.model.tokenize
         for p in pieces:
             t = p.decode("utf-8", "replace")
-            (words if t.isalpha() else rest).append((p, t))
+            if _PLAIN.fullmatch(p):
+                out[p] = array("I", [x.id for x in merge(t)]).tobytes()
+            else:
+                (words if t.isalpha() else rest).append((p, t))
         for at in range(0, len(words), 4096):
             row = words[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in row])], add_special_tokens=False)[0].ids, "<u4")
