@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +46,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most `rows` rows travel to Python at once, since the rows here hold long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and leave all other characters as they are."""
     return F.translate(col, UPPER, LOWER)
@@ -61,20 +67,3 @@ def ascii_words(text: Column) -> Column:
 def shifted(words: Column, by: int) -> Column:
     """The array from its element number `by` on, to zip with itself."""
     return F.slice(words, by + 1, _FAR)
-
-
-def per_batch(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema, rows: int = 1000):
-    """A mapInArrow function that applies fn to slices of at most `rows` rows.
-
-    Slices bound the Python memory at one slice's texts, whatever the size of an
-    Arrow batch.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    return run

@@ -46,8 +46,8 @@ def _probe(raw: bytes, bits: int) -> tuple[int, int, int]:
     return n, prefix, slot
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
-    for raw in batch.column("_raw"):
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    for raw in column.cast(pa.binary()):  # a view of the same bytes
         yield (raw.as_py() or b"").lower()
 
 
@@ -57,15 +57,14 @@ def shared_slots(docs: DataFrame, filter_bits: int = FILTER_BITS) -> np.ndarray:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_probe(raw, filter_bits) for raw in _texts(batch)]
+            got = [_probe(raw, filter_bits) for raw in _texts(batch.column(0))]
             n, p, s = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(n, pa.int64()), pa.array(np.array(p, np.uint64).view(np.int64)), pa.array(s, pa.int64())],
                 schema=schema,
             )
 
-    raw = docs.select(F.col("text").cast("binary").alias("_raw"))
-    rows = raw.mapInArrow(probe, "n_bytes long, prefix long, slot long")
+    rows = docs.select("text").mapInArrow(probe, "n_bytes long, prefix long, slot long")
     pairs = rows.groupBy("n_bytes", "prefix").agg(F.count("*").alias("n"), F.min("slot").alias("slot"))
     blocks = (
         pairs.where("n > 1")
@@ -83,22 +82,27 @@ def shared_slots(docs: DataFrame, filter_bits: int = FILTER_BITS) -> np.ndarray:
     return np.packbits(bitmap, bitorder="little")
 
 
-def keyed(docs: DataFrame, *, filter_bits: int = FILTER_BITS, digest_all: bool = False, carry: bool = False) -> DataFrame:
+def keyed(docs: DataFrame, slots: np.ndarray, *, digest_all: bool = False, carry: bool = False) -> DataFrame:
     """A key per row, `_key`, that equal texts, and no others, share.
 
     The key is the SHA-256 of the normalised text for survivors of the length and
-    prefix steps, else length and prefix hash, which no other row has.
-    digest_all adds `_sha`, the SHA-256 for every row. The other columns are c0, the
-    doc_id, or with carry c0, c1, ... for all input columns in their order, so that
-    no input name can clash.
+    prefix steps, else length and prefix hash, which no other row has. slots come from
+    shared_slots() over the same rows. digest_all adds `_sha`, the SHA-256 for every
+    row. The other columns are c0, the doc_id, or with carry c0, c1, ... for all input
+    columns in their order, so that no input name can clash.
     """
-    slots = shared_slots(docs, filter_bits).tobytes()
+    held = docs.sparkSession.sparkContext.broadcast(slots.tobytes())
+    filter_bits = 8 * len(slots)
+    taken = docs.columns if carry else ["doc_id", "text"]
+    text = taken.index("text")
+    out = [i for i in range(len(taken)) if carry or i != text]
+    out_names = [f"c{i}" for i in out] + ["_key"] + (["_sha"] if digest_all else [])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.frombuffer(slots, np.uint8)
+        hit = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             keys, shas = [], []
-            for raw in _texts(batch):
+            for raw in _texts(batch.column(text)):
                 n, prefix, slot = _probe(raw, filter_bits)
                 sha = None
                 if hit[slot >> 3] >> (slot & 7) & 1:
@@ -106,23 +110,21 @@ def keyed(docs: DataFrame, *, filter_bits: int = FILTER_BITS, digest_all: bool =
                 keys.append(sha or f"{n:x}-{prefix:016x}")
                 if digest_all:
                     shas.append(sha or hashlib.sha256(raw).hexdigest())
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(keys, pa.string())]
+            columns = [batch.column(i) for i in out] + [pa.array(keys, pa.string())]
             if digest_all:
                 columns.append(pa.array(shas, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=out_names)
 
-    taken = docs.columns if carry else ["doc_id"]
-    out_names = [f"c{i}" for i in range(len(taken))] + ["_key"] + (["_sha"] if digest_all else [])
-    kinds = [docs.schema[name].dataType.simpleString() for name in taken] + ["string", "string"]
-    raw = F.col("text").cast("binary").alias("_raw")
-    source = docs.select(*[F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(taken)], raw)
+    kinds = [docs.schema[taken[i]].dataType.simpleString() for i in out] + ["string", "string"]
+    source = docs.select(*[F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(taken)])
     return source.mapInArrow(digest, ", ".join(f"{name} {kind}" for name, kind in zip(out_names, kinds, strict=False)))
 
 
-def mark(docs: DataFrame, *, filter_bits: int = FILTER_BITS, digest_all: bool = False) -> DataFrame:
+def mark(docs: DataFrame, *, filter_bits: int = FILTER_BITS, digest_all: bool = False, slots: np.ndarray | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept and its key."""
+    slots = shared_slots(docs, filter_bits) if slots is None else slots
     rows = materialize(
-        keyed(docs, filter_bits=filter_bits, digest_all=digest_all)
+        keyed(docs, slots, digest_all=digest_all)
         .withColumnRenamed("c0", "doc_id")
         .withColumn("_row", F.monotonically_increasing_id()),
         "exact-keys",
@@ -148,14 +150,15 @@ def mark(docs: DataFrame, *, filter_bits: int = FILTER_BITS, digest_all: bool =
 
 def dedup(docs: DataFrame, *, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The documents without the rows that mark() drops; all columns stay."""
-    marks = materialize(mark(docs, filter_bits=filter_bits), "exact-marks")
+    slots = shared_slots(docs, filter_bits)
+    marks = materialize(mark(docs, slots=slots), "exact-marks")
     dropped = marks.where("NOT kept AND doc_id IS DISTINCT FROM keep_id").select(
         F.col("doc_id").alias("_d"), F.col("_key").alias("_k")
     )
     again = marks.where("NOT kept AND doc_id IS NOT DISTINCT FROM keep_id").select(
         F.col("doc_id").alias("_d"), F.col("_key").alias("_k")
     )
-    rows = keyed(docs, filter_bits=filter_bits, carry=True)
+    rows = keyed(docs, slots, carry=True)
     doc = f"c{docs.columns.index('doc_id')}"
     same = (F.col("_key") == F.col("_k")) & F.col(doc).eqNullSafe(F.col("_d"))
     left = rows.join(dropped, same, "left_anti")

@@ -40,7 +40,7 @@ PER_CLASS, VOCABULARY, MIN_DOCS = 2500, 12_000, 3
 PARTS = 8
 DIM, ONES, REACH = 40, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY = 24, 40, 0.01, 1e-3
-CACHE = 300_000
+CACHE = 150_000
 THRESHOLD = 0.3
 
 _SHAPES = 512
