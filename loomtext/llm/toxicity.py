@@ -38,11 +38,11 @@ from .common import materialize
 from .sampling import bounded_sample, fold, sampled_texts
 
 POSITIVES, NEGATIVES, LEXICON, FOLDS = 3000, 6000, 2000, 4
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6)  # look() has them spelled out
 MIN_DOCS, ODDS = 3, 8.0
 NEAR = 4
 TREES, DEPTH, BINS, RATE, LEAF = 60, 3, 32, 0.2, 4
-CACHE = 300_000
+CACHE = 200_000
 THRESHOLD = 0.3
 
 #: common insults, as a start for the learned lexicon
@@ -72,23 +72,30 @@ class Lexicon:
     begins: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.cache: dict[str, tuple] = {}
+        self.flagged: dict[str, tuple] = {}
+        self.neutral: set[str] = set()
 
-    def look(self, word: str) -> tuple:
-        """Flags of a word: learned, begin, listed, undone, second person, capital, odd, stretched; weight."""
-        plain = word.lower().strip(_STRIP)
-        undone = re.sub(r"[^\w]|_", "", _STRETCH.sub(r"\1", plain.translate(_LEET))) if plain else plain
+    def look(self, word: str) -> tuple | None:
+        """Flags of a word: learned, begin, listed, undone, second person, capital, odd, stretched; weight.
+
+        None for a word without any.
+        """
+        plain = word.strip(_STRIP).lower()
         learned = self.words.get(plain, 0.0)
-        begin = max((self.begins.get(plain[:k], 0.0) for k in PREFIXES if len(plain) >= k), default=0.0)
-        listed = plain in INSULTS
-        hidden = undone != plain and (undone in self.words or undone in INSULTS)
+        get = self.begins.get
+        begin = max(get(plain[:4], 0.0), get(plain[:5], 0.0), get(plain[:6], 0.0)) if len(plain) >= 4 else 0.0
+        listed, second = plain in INSULTS, plain in SECOND_PERSON
+        capital = word.isupper() and sum(map(str.isalpha, word)) > 1
+        stretched = len(plain) - len(set(plain)) > 1 and _STRETCH.search(plain) is not None
+        odd, hidden, undone = False, False, plain
+        if stretched or not plain.isalpha():
+            odd = _MIXED.search(plain) is not None
+            undone = re.sub(r"[^\w]|_", "", _STRETCH.sub(r"\1", plain.translate(_LEET)))
+            hidden = undone != plain and (undone in self.words or undone in INSULTS)
         weight = max(learned, begin, self.words.get(undone, 2.0) if hidden else 0.0, 2.0 if listed else 0.0)
-        letters = [c for c in word if c.isalpha()]
-        capital = len(letters) > 1 and all(c.isupper() for c in letters)
-        return (
-            learned > 0, begin > 0, listed, hidden, plain in SECOND_PERSON, capital,
-            _MIXED.search(plain) is not None, _STRETCH.search(plain) is not None, weight,
-        )
+        if not (weight or second or capital or odd or stretched):
+            return None
+        return (learned > 0, begin > 0, listed, hidden, second, capital, odd, stretched, weight)
 
     def features(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
@@ -96,34 +103,40 @@ class Lexicon:
         n = len(words)
         if not n:
             return out
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        got = []
-        for w in words:
-            flags = cache.get(w)
+        if len(self.neutral) + len(self.flagged) > CACHE:
+            self.neutral.clear()
+            self.flagged.clear()
+        marked = {}  # most words have no flags, and are met as members of a set only
+        for w in set(words) - self.neutral:
+            flags = self.flagged.get(w)
             if flags is None:
                 flags = self.look(w)
+                if flags is None:
+                    if len(w) <= 64:
+                        self.neutral.add(w)
+                    continue
                 if len(w) <= 64:
-                    cache[w] = flags
-            got.append(flags)
-        a = np.array(got, np.float32)
-        learned, begin, listed, hidden, second, capital, odd, stretched = (a[:, i].sum() for i in range(8))
-        hits = np.flatnonzero(a[:, 8] > 0)
+                    self.flagged[w] = flags
+            marked[w] = flags
+        out[10:13] = text.count("!") / n, text.count("?") / n, sum(text.count(c) for c in "!?*$%&#") / n
+        if not marked:
+            return out
+        places = np.array([i for i, w in enumerate(words) if w in marked])
+        a = np.array([marked[words[i]] for i in places], np.float64)
+        learned, begin, listed, hidden, second, capital, odd, stretched, weight = a.sum(0).tolist()
+        hits = places[a[:, 8] > 0]
         near = 0
         if len(hits) and second:
-            at = np.flatnonzero(a[:, 4])
+            at = places[a[:, 4] > 0]
             left = at[np.clip(np.searchsorted(at, hits) - 1, 0, None)]
             right = at[np.clip(np.searchsorted(at, hits), None, len(at) - 1)]
             near = int((np.minimum(np.abs(hits - left), np.abs(right - hits)) <= NEAR).sum())
-        weight = float(a[:, 8].sum())
-        marks = sum(text.count(c) for c in "!?*$%&#")
-        out[:] = (
+        out[:10] = (
             learned / n, np.log1p(learned), begin / n, np.log1p(begin), listed / n, np.log1p(listed),
             np.log1p(len({words[i].lower().strip(_STRIP) for i in hits})),
-            near / max(1, len(hits)), np.log1p(near), capital / n, text.count("!") / n, text.count("?") / n, marks / n,
-            odd / n, np.log1p(hidden), stretched / n, np.log1p(weight), weight / n,
+            near / max(1, len(hits)), np.log1p(near), capital / n,
         )
+        out[13:] = odd / n, np.log1p(hidden), stretched / n, np.log1p(weight), weight / n
         return out
 
 
