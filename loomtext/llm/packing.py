@@ -45,8 +45,8 @@ LIMIT = 4096
 END_ID = 2
 SENTENCE, HARD, EACH = 8, 48, 16
 BLOCK = 1 << 20
-GAP, STEP = 512, 256
-CACHE = 600_000
+GAP, STEP = 96, 48
+CACHE = 200_000
 VOCABULARY = "word_bpe_49k.json"
 _PLAIN = re.compile(rb"[a-z]{1,64}")
 _MARK = re.compile(rb"[.,!?;:](?<=[a-z].)(?=[\x20\x09-\x0d])")  # a single mark right after a letter
@@ -174,7 +174,7 @@ def plan(at: list[int], penalty: list[int], limit: int = LIMIT) -> list[int]:
 def split_tail(start: int, end: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     """The last window, in powers of two where padding costs more."""
     n = end - start
-    if n & (n - 1) == 0 or limit - n <= (n.bit_count() - 1) * (HARD + EACH):
+    if n & (n - 1) == 0 or limit - n <= (n.bit_count() - 1) * EACH:
         return [(start, end)]
     out = []
     for k in reversed(range(n.bit_length())):
