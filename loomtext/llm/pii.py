@@ -9,10 +9,10 @@ replacement text that carries source offsets along:
 
 * homoglyphs: look-alike Cyrillic and Greek letters, full-width forms, digits of other
   scripts, and invisible characters, which vanish;
-* spelled digits: runs of at least `RUN` number words (English, German, French, Spanish),
-  digits and "plus" between them taken along;
+* spelled digits: runs of number words (English, German, French, Spanish) and digits, with
+  at least `WORDS` words and `DIGITS` digits in all, and a "plus" before them;
 * at and dot: bracketed anywhere, as plain words only where a whole address with a known
-  ending reads so.
+  ending, or four numbers, read so.
 
 The base patterns then run on the normalised text, and matches that contain a changed
 character are mapped back to the source characters that they came from. They are added
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-RUN = 7
+UNITS, WORDS, DIGITS = 4, 3, 10
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -137,7 +137,7 @@ _WORDS = {
 _SPELLED = {w: to for to, words in _WORDS.items() for w in words.split()}
 _NUMBER_WORD = "|".join(sorted(map(re.escape, _SPELLED), key=len, reverse=True))
 _SEP = r"[ \t,./()-]{1,3}"
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD}|[+(]{{0,2}}[0-9]+)(?:{_SEP}(?:{_NUMBER_WORD}|[0-9]+)){{{RUN - 1},}}(?!\w)", re.I)
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD}|[+(]{{0,2}}[0-9]+)(?:{_SEP}(?:{_NUMBER_WORD}|[0-9]+)){{{UNITS - 1},}}(?!\w)", re.I)
 _TOKEN = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD})(?!\w)", re.I)
 _TWO_WORDS = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD}){_SEP}(?:{_NUMBER_WORD})(?!\w)", re.I)
 
@@ -149,6 +149,7 @@ _PLAIN = re.compile(
     rf"[A-Za-z0-9-]++(?:(?:\s{{1,3}}dot\s{{1,3}}|\s{{0,3}}\.\s{{0,3}})[A-Za-z0-9-]++){{0,6}}?(?:\s{{1,3}}dot\s{{1,3}}|\.)(?:{_ENDINGS})(?!\w)",
     re.I,
 )
+_PLAIN_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s{1,3}dot\s{1,3}[0-9]{1,3}){3}(?!\w)", re.I)
 _PLAIN_AT = re.compile(r"\s+at\s+|\s*@\s*", re.I)
 _PLAIN_DOT = re.compile(r"\s+dot\s+|\s*\.\s*", re.I)
 _SIGNS = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|\.|ät|arroba|arobase|punkt|point|punto)\s{0,3}[\])}>]|\bdot\b|\s@|@\s", re.I)
@@ -194,7 +195,7 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SPELLED_RUN.finditer(text):
         inside = list(_TOKEN.finditer(text, m.start(), m.end()))
-        if len(inside) < RUN:
+        if len(inside) < WORDS or len(inside) + len(_DIGIT.findall(m[0])) < DIGITS:
             continue
         at = m.start()
         if (plus := re.search(r"(?<!\w)plus[ \t]+$", text[max(0, at - 8) : at], re.I)) is not None:
@@ -225,6 +226,7 @@ def _plain_edits(text: str) -> list[tuple[int, int, str]]:
         if "@" not in at[0] and not dots:
             continue  # a bare "at" counts only where a dot is spelled, too
         out += ([(at.start(), at.end(), "@")] if at[0] != "@" else []) + [(d.start(), d.end(), ".") for d in dots]
+    out += [(d.start(), d.end(), ".") for m in _PLAIN_IP.finditer(text) for d in _PLAIN_DOT.finditer(text, m.start(), m.end())]
     return sorted(out)
 
 

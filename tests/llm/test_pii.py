@@ -54,6 +54,8 @@ DISGUISED = [
     ("call plus one nine eight eight five five five two four eight five today", "phone", "plus one nine eight eight five five five two four eight five"),
     ("call +1 nine eight eight - five five five - two four eight five today", "phone", "+1 nine eight eight - five five five - two four eight five"),
     ("wählen plus vier neun drei null eins zwei drei vier fünf sechs sieben jetzt", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs sieben"),
+    ("call +1 (988) five five five 2485 today", "phone", "+1 (988) five five five 2485"),
+    ("host 29 dot 217 DOT 126 dot 147 is down", "ip", "29 dot 217 DOT 126 dot 147"),
     ("card four one one one one one one one one one one one one one one one ok", "card", "four one one one one one one one one one one one one one one one"),
     ("card ４１１１ １１１１ １１１１ １１１１ ok", "card", "４１１１ １１１１ １１１１ １１１１"),
 ]
@@ -72,6 +74,8 @@ CLEAN = [
     "Ein Text – mit Gedankenstrich, 1.000.000 Euro und 12:30 Uhr.",
     "un deux trois quatre cinq six sept huit neuf, comptons encore une fois",
     "at dot at dot (at) [dot] <at>",
+    "We won five four three two one nil, then four and six and eight, 12 of 30.",
+    "10 dot 20 dot 30 and 300 dot 1 dot 1 dot 1",
     "Meet at example dot and come.",
 ]
 
