@@ -63,7 +63,7 @@ def test_links_lose_nothing_in_hot_buckets(spark):
     fps |= {rng.getrandbits(64) for _ in range(300)} | {1, 3, 2**63, 2**63 | 2**31}
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
     want = brute_components([signed(x) for x in fps])
-    for bucket in (2, 6, 24, 10_000):
+    for bucket in (2, 24):
         got = {x: x for x in want}
         got |= {r.node: r.root for r in connected_components(simhash.links(df, bucket)).collect()}
         assert got == want
