@@ -134,6 +134,6 @@ def synonym_merge(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
         F.get("d", F.lit(0))["name"].alias("name"),
         "category",
         folded(F.transform("d", lambda x: x["definition"])).alias("definition"),
-        F.transform(F.slice("d", 2, 2**31 - 1), lambda x: x["name"]).alias("aliases"),
+        F.transform(F.slice("d", 2, F.size("d")), lambda x: x["name"]).alias("aliases"),
         "source_scenes",
     )
