@@ -12,7 +12,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Everything in ASCII that is neither a digit nor a letter separates words.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_FAR = 2**31 - 1
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -66,4 +65,4 @@ def ascii_words(text: Column) -> Column:
 
 def shifted(words: Column, by: int) -> Column:
     """The array from its element number `by` on, to zip with itself."""
-    return F.slice(words, by + 1, _FAR)
+    return F.slice(words, by + 1, F.size(words))
