@@ -34,7 +34,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import ascii_words, materialize
 
@@ -74,24 +73,22 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, max_broadcas
 
 
 def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item, window, term, offset): for each window its two rarest positions."""
+    """(item, window, term, offset): for each window its two rarest positions.
+
+    Document counts meet each item position once; the windows are slices of the item.
+    The counts have as many rows as the items have distinct words, so they are broadcast
+    while the items are small.
+    """
     counts = index.where(F.col("term") != _LENGTH).groupBy("term").agg(F.count("*").alias("df"))
-    n = F.size("words")
-    starts = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))
-    positions = (
-        items.select("item", "words", F.explode(starts).alias("window"))
-        .select("item", "window", F.posexplode(F.slice("words", F.col("window") + 1, window)).alias("k", "word"))
-        .select("item", "window", (F.col("window") + F.col("k")).alias("offset"), F.xxhash64("word").alias("term"))
-    )
-    rare = W.partitionBy("item", "window")
-    return (
-        positions.join(counts, "term", "left")
-        .withColumn("least", F.min(F.coalesce("df", F.lit(0))).over(rare))
-        .where("least > 0")
-        .withColumn("rank", F.row_number().over(rare.orderBy("df", "offset")))
-        .where("rank <= 2")
-        .select("item", "window", "term", "offset")
-    )
+    if (items.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_TERMS:
+        counts = F.broadcast(counts)
+    words = items.select("item", F.posexplode("words").alias("offset", "word")).withColumn("term", F.xxhash64("word"))
+    rows = words.join(counts, "term", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("offset", "term", "df"))).alias("w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
+    slices = rows.select("item", F.explode(starts).alias("window"), "w").select("item", "window", F.slice("w", F.col("window") + 1, window).alias("s"))
+    met = slices.where(~F.exists("s", lambda x: x["df"].isNull()))
+    rarest = F.slice(F.array_sort(F.transform("s", lambda x: F.struct(x["df"], x["offset"], x["term"]))), 1, 2)
+    return met.select("item", "window", F.explode(rarest).alias("r")).select("item", "window", "r.term", "r.offset")
 
 
 def candidates(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
