@@ -134,6 +134,8 @@ def _shared(fps: DataFrame, bits: bytes) -> DataFrame:
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) whose closure links all distinct fp within two bits of each other."""
+    # few bytes a row, but 64 variants of each: spread them over many small tasks
+    fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = materialize(
         _variants(fps).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"),
         "simhash-keys",
