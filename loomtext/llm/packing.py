@@ -46,7 +46,7 @@ END_ID = 2
 SENTENCE, HARD, EACH = 8, 48, 16
 BLOCK = 1 << 20
 GAP, STEP = 96, 48
-CACHE = 200_000
+CACHE = 400_000
 VOCABULARY = "word_bpe_49k.json"
 _PLAIN = re.compile(rb"[a-z]{1,64}")
 _MARK = re.compile(rb"[.,!?;:](?<=[a-z].)(?=[\x20\x09-\x0d])")  # a single mark right after a letter
