@@ -49,7 +49,12 @@ GAP, STEP = 96, 48
 CACHE = 400_000
 VOCABULARY = "word_bpe_49k.json"
 _PLAIN = re.compile(rb"[a-z]{1,64}")
-_MARK = re.compile(rb"[.,!?;:](?<=[a-z].)(?=[\x20\x09-\x0d])")  # a single mark right after a letter
+_LATIN = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64}")
+#: a run of ASCII marks from a letter or digit to white space
+_MARKS = re.compile(rb"[!-/:-@\[-`{-~](?<=[a-z0-9].)[!-/:-@\[-`{-~]*(?=[\x20\x09-\x0d])", re.S)
+#: byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
 class Encoder:
@@ -82,10 +87,11 @@ class Encoder:
     def _ids(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new pieces. Plain words take short cuts.
 
-        A word of a-z is what the steps before the merges would leave of it, so it goes to
-        the merges alone. Another piece of letters is still one word to the tokeniser, and
-        a word's last token is marked, so a row of words is encoded at once and falls apart
-        at the marks. Where their number differs, the words are encoded one by one.
+        A word of Latin letters is known to the merges as its bytes in the byte-level
+        alphabet, lower-cased, so it goes to them alone. Another piece of letters is still
+        one word to the tokeniser, and a word's last token is marked, so a row of words is
+        encoded at once and falls apart at the marks. Where their number differs, the words
+        are encoded one by one.
         """
         out: dict[bytes, bytes] = {}
         words, rest = [], []
@@ -94,6 +100,8 @@ class Encoder:
             t = p.decode("utf-8", "replace")
             if _PLAIN.fullmatch(p):
                 out[p] = array("I", [x.id for x in merge(t)]).tobytes()
+            elif _LATIN.fullmatch(t):
+                out[p] = array("I", [x.id for x in merge(t.lower().encode().decode("latin-1").translate(_BYTES))]).tobytes()
             else:
                 (words if t.isalpha() else rest).append((p, t))
         for at in range(0, len(words), 4096):
@@ -112,9 +120,9 @@ class Encoder:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        # Case and a space before closing marks make no difference to the tokeniser, but
+        # Case and a space before closing marks make no difference to the tokeniser, but make
         # fewer distinct pieces; texts that may hold special tokens are left alone.
-        split = [(t if b"<|" in t else _MARK.sub(rb" \g<0>", t.lower())).split() for t in texts]  # at ASCII white space only
+        split = [(t if b"<|" in t else _MARKS.sub(rb" \g<0>", t.lower())).split() for t in texts]  # at ASCII white space only
         if len(self.cache) > CACHE:  # two generations: what is still in use is carried over
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older

@@ -52,7 +52,10 @@ def test_ids_by_piece_equal_ids_by_text(encoder):
         " \n ",
     ]
     rng = random.Random(3)
-    alphabet = "ab'st 12.!?é́  \x1cÜ<|>\n\tΩ日"
+    latin = [chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha()]
+    texts += ["".join(latin[i : i + 20]) for i in range(0, len(latin), 20)] + latin + [f"x{c}y" for c in latin]
+    texts += ["word%%% w'' 's' don't'. é... é, »... a». ..a b.c. !!x ?! \x7f\x7f. (a) [b] x_ _y __ z", "end. ", ". .. ... '", "'s 's. x's. x'. '' ' s"]
+    alphabet = "ab'st 12.!?%,'»…é́  \x1cÜ<|>\n\tΩ日"
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
     for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
