@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -71,19 +72,28 @@ def nearest(vectors: DataFrame, key: str, vec: str, query: Sequence[float], limi
     return scored.orderBy(F.desc("score"), F.desc(key)).limit(limit)
 
 
+def _blocks(rows: DataFrame, key: str, limit: int) -> list[DataFrame]:
+    """The rows in as many parts by key as keep each at about half the limit, or whole if they are within it."""
+    count = rows.count()
+    n = 1 if count <= limit else -(-2 * count // limit)
+    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
 def nearest_each(vectors: DataFrame, queries: DataFrame, key: str, query: str, vec: str, limit: int = 10, max_queries: int = 10_000) -> DataFrame:
-    """(query, key, score, rank) of a table of queries, whose count is checked before it is sent.
+    """(query, key, score, rank) of a table of queries, in blocks of about `max_queries` at most.
 
-    The queries travel as one array to every task, so that a vector meets all of them in
+    The queries of a block travel as one array to every task, so that a vector meets all of them in
     one pass; the best of each query are ranked with partial top-k lists per task.
     """
-    if queries.count() > max_queries:
-        raise ValueError("too many queries at once; run them in blocks")
-    q = queries.select(F.col(query).alias("_q"), F.col(vec).alias("_v"))
-    met = vectors.select(key, F.col(vec).alias("_x")).join(F.broadcast(q), F.lit(True))
-    scored = met.select(F.col("_q").alias(query), key, F.round(V.cosine(F.col("_x"), F.col("_v")), 6).alias("score"))
     order = W.partitionBy(query).orderBy(F.desc("score"), F.desc(key))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+    def best(part: DataFrame) -> DataFrame:
+        q = part.select(F.col(query).alias("_q"), F.col(vec).alias("_v"))
+        met = vectors.select(key, F.col(vec).alias("_x")).join(F.broadcast(q), F.lit(True))
+        scored = met.select(F.col("_q").alias(query), key, F.round(V.cosine(F.col("_x"), F.col("_v")), 6).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+    return reduce(DataFrame.union, [best(part) for part in _blocks(queries, query, max_queries)])
 
 
 def embed_cached(texts: DataFrame, cache: DataFrame, model: str, embed=V.hashed_bigrams) -> tuple[DataFrame, DataFrame]:
@@ -111,12 +121,10 @@ def layered_search(queries: DataFrame, nodes: DataFrame, *, top: int = 10, in_sc
 
     nodes: (id, ord). The first layer that fits counts; a layer stops at 3 * top; edits
     are tried only for queries of two characters or more that have fewer than `top` hits.
-    The nodes are a lexicon, and their count is checked before they are sent to the tasks.
+    The nodes are sent to the tasks in blocks of about `max_nodes` at most.
     """
     rows = nodes if in_scope is None else nodes.where(in_scope)
     rows = rows.select("id", "ord")
-    if rows.count() > max_nodes:
-        raise ValueError("too many nodes for a theta join; block them by n-grams first")
     q, n = F.col("query"), F.col("id")
     edit = (F.length(q) >= 2) & (F.levenshtein(q, n, 1) >= 0)
     score = (
@@ -125,9 +133,14 @@ def layered_search(queries: DataFrame, nodes: DataFrame, *, top: int = 10, in_sc
         .when(F.contains(n, q) | F.contains(q, n), 0.6)
         .when(edit, 0.45)
     )
-    met = queries.select("query").distinct().join(F.broadcast(rows), (q != "") & (n != "") & score.isNotNull()).withColumn("score", score)
     layer = W.partitionBy("query", "score").orderBy("ord")
-    met = met.withColumn("_k", F.row_number().over(layer)).where(F.col("_k") <= 3 * top)
+    asked = queries.select("query").distinct()
+
+    def first(found: DataFrame) -> DataFrame:
+        return found.withColumn("_k", F.row_number().over(layer)).where(F.col("_k") <= 3 * top)
+
+    parts = [asked.join(F.broadcast(part), (q != "") & (n != "") & score.isNotNull()).withColumn("score", score) for part in _blocks(rows, "id", max_nodes)]
+    met = first(parts[0]) if len(parts) == 1 else first(reduce(DataFrame.union, [first(part).drop("_k") for part in parts]))
     before = F.count(F.when(F.col("score") > 0.45, 1)).over(W.partitionBy("query"))
     met = met.withColumn("_b", before).where((F.col("score") > 0.45) | (F.col("_b") < top))
     order = W.partitionBy("query").orderBy(F.desc("score"), "ord")
