@@ -139,7 +139,8 @@ _NUMBER_WORD = "|".join(sorted(map(re.escape, _SPELLED), key=len, reverse=True))
 _SEP = r"[ \t,./()-]{1,3}"
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD}|[+(]{{0,2}}[0-9]+)(?:{_SEP}(?:{_NUMBER_WORD}|[0-9]+)){{{UNITS - 1},}}(?!\w)", re.I)
 _TOKEN = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD})(?!\w)", re.I)
-_TWO_WORDS = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD}){_SEP}(?:{_NUMBER_WORD})(?!\w)", re.I)
+#: A number word beside a number word or a digit: every run that _digit_edits() takes has one.
+_TWO_UNITS = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD}){_SEP}(?:(?:{_NUMBER_WORD})(?!\w)|[0-9])|[0-9]{_SEP}(?:{_NUMBER_WORD})(?!\w)", re.I)
 
 _AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@|ät|arroba|arobase)\s{0,3}[\])}>]\s{0,3}", re.I)
 _DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.|punkt|point|punto)\s{0,3}[\])}>]\s{0,3}", re.I)
@@ -242,7 +243,7 @@ def _disjoint(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 def normalise(text: str) -> Mapped | None:
     """The text with its disguises undone; None where it shows no sign of any."""
     odd = not text.isascii() and _glyph_edits(text)
-    if not (odd or _SIGNS.search(text) or _TWO_WORDS.search(text)):
+    if not (odd or _SIGNS.search(text) or _TWO_UNITS.search(text)):
         return None
     mapped = Mapped(text)
     if odd:
