@@ -176,10 +176,17 @@ def components(docs: DataFrame, *, shingle: int = SHINGLE_WORDS, bucket: int = B
 
 
 def dedup(docs: DataFrame, *, shingle: int = SHINGLE_WORDS, bucket: int = BUCKET) -> DataFrame:
-    """The documents with the smallest doc_id of each component; all columns stay.
+    """The row with the smallest doc_id of each component; all columns stay.
 
-    A null doc_id stays only where its component has no other.
+    A null doc_id stays only where its component has no other. Rows are numbered in a
+    written table, so that rows which share a doc_id are dropped each for itself.
     """
-    dropped = components(docs, shingle=shingle, bucket=bucket).where("doc_id IS DISTINCT FROM component_id")
-    dropped = dropped.select("doc_id").distinct()
-    return docs.alias("l").join(dropped.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left_anti")
+    doc, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("row"))
+    held = materialize(held, "simhash-held")
+    parts = components(held.select(F.col("row").alias("doc_id"), F.col(f"c{text}").alias("text")), shingle=shingle, bucket=bucket)
+    parts = parts.select(F.col("doc_id").alias("r"), F.col("component_id").alias("root"))
+    inner = materialize(held.select("row", F.col(f"c{doc}").alias("id")).join(parts, F.col("row") == F.col("r")).select("row", "id", "root"), "simhash-inner")
+    best = inner.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    dropped = inner.select("row").join(best.select(F.col("best.row").alias("row")), "row", "left_anti")
+    return held.join(dropped, "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
