@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,24 +35,61 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_scopes: list[str] = []
+
+
+def _folder(spark: SparkSession, *parts: str) -> str:
+    return "/".join([f"{scratch_root(spark)}/loomtext-{spark.sparkContext.applicationId}", *parts])
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write df as Parquet and read it back; its shuffle files go as soon as it is written."""
+    spark = df.sparkSession
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     That cuts the lineage at files which survive the loss of any executor, and
     gives the optimizer true sizes for what comes after.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/loomtext-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write(df, _folder(df.sparkSession, *_scopes, f"{label}-{uuid.uuid4().hex}"))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables made inside, deleted at the end."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    path = _folder(spark, *_scopes)
+    try:
+        yield path
+    finally:
+        _scopes.pop()
+        _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once their results are written."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/loomtext-{spark.sparkContext.applicationId}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if spark.conf.get("spark.checkpoint.dir", None):
+        _delete(spark, _folder(spark))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
