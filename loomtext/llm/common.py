@@ -92,6 +92,21 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _folder(spark))
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """The rows, written with a number `row` of their own and their columns as c0, c1, ...
+
+    What is found for a row goes back to that row alone, whatever ids repeat or are null,
+    and no input name can clash.
+    """
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return materialize(docs.select(*columns, F.monotonically_increasing_id().alias("row")), label)
+
+
+def renamed(held: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of numbered() under their own names again."""
+    return held.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let at most `rows` rows travel to Python at once, since the rows here hold long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -17,8 +17,10 @@ A search intersects offset-adjusted lists from the rarest terms on:
 
 Windows are grouped by diagonal, so a passage of any length is one candidate and not
 one for each window. The test vocabulary is broadcast only while its counted size is
-under `BROADCAST_TERMS`; beyond that the join shuffles. Only the matched diagonals are
-joined back to the texts, with an equi-join on doc_id.
+under `BROADCAST_TERMS`; beyond that the join shuffles. Documents are numbered in a
+written table, and postings carry that number, so that hits go to the row that they stand
+in, whatever doc_ids repeat or are null. Only the matched diagonals are joined back to the
+texts, with an equi-join on the number.
 
 proximity_match() uses the same postings for terms within a distance, in any order.
 
@@ -26,8 +28,8 @@ Defined results: words are runs of ASCII digits and letters and of all non-ASCII
 characters, A-Z lower-cased; null has none. An item of fewer words than the window,
 but not none, is one window. Equal item texts and repeated (doc_id, text) rows each get
 their result; a document without words is clean. Items that repeat an item_id count
-once. Null ids are ids like any other, and rows that
-share a doc_id share their hits. Other columns are not looked at.
+once. Null ids are ids like any other. Other columns are not looked at, whatever their
+names; an empty table of documents gives an empty result, one of items no hits.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, materialize
+from .common import ascii_words, materialize, numbered, renamed
 
 WINDOW = 13
 BROADCAST_TERMS = 200_000
@@ -54,13 +56,13 @@ def vocabulary(items: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None, *, max_broadcast: int = BROADCAST_TERMS) -> DataFrame:
-    """Postings (term, doc_id, pos) of the terms, or of all words, and the length postings.
+    """Postings (term, row, pos) of the terms, or of all words, and the length postings.
 
-    terms: (word, term). Written to the shared folder, sorted by term within segments.
+    docs: (row, text); terms: (word, term). Written to the shared folder, sorted by term within segments.
     """
     # the empty word cannot occur in a text: it marks the end, and so the length
     words = F.concat(ascii_words(F.col("text")), F.array(F.lit("")))
-    posts = docs.select("doc_id", F.posexplode(words).alias("pos", "word"))
+    posts = docs.select("row", F.posexplode(words).alias("pos", "word"))
     if terms is None:
         posts = posts.withColumn("term", F.when(F.col("word") == "", F.lit(_LENGTH)).otherwise(F.xxhash64("word")))
     else:
@@ -69,7 +71,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, max_broadcas
         if terms.count() <= max_broadcast:
             terms = F.broadcast(terms)
         posts = posts.join(terms, "word")
-    return materialize(posts.select("term", "doc_id", "pos").sortWithinPartitions("term"), "postings")
+    return materialize(posts.select("term", "row", "pos").sortWithinPartitions("term"), "postings")
 
 
 def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -92,7 +94,7 @@ def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def candidates(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Diagonals (doc_id, item, delta, size) on which all anchors of some window lie."""
+    """Diagonals (row, item, delta, size) on which all anchors of some window lie."""
     chosen = materialize(anchors(items, index, window), "anchors")
     need = chosen.groupBy("item", "window").agg(F.sort_array(F.collect_set("offset")).alias("need"))
     need = need.groupBy("item").agg(F.collect_set("need").alias("needs"))
@@ -102,12 +104,12 @@ def candidates(items: DataFrame, index: DataFrame, window: int = WINDOW) -> Data
         points = F.broadcast(points)
     met = (
         index.join(points, "term")
-        .select("doc_id", "item", (F.col("pos") - F.col("offset")).alias("delta"), "offset")
-        .groupBy("doc_id", "item", "delta")
+        .select("row", "item", (F.col("pos") - F.col("offset")).alias("delta"), "offset")
+        .groupBy("row", "item", "delta")
         .agg(F.collect_set("offset").alias("met"))  # at most as many as the item has words
     )
     all_met = F.exists("needs", lambda need: F.size(F.array_except(need, "met")) == 0)
-    return met.join(need, "item").where(all_met).select("doc_id", "item", "delta", "size")
+    return met.join(need, "item").where(all_met).select("row", "item", "delta", "size")
 
 
 def _in_windows(same: Column, window: Column) -> Column:
@@ -118,23 +120,18 @@ def _in_windows(same: Column, window: Column) -> Column:
 
 
 def matches(docs: DataFrame, items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, pos): document words inside an occurrence of a window of the item."""
+    """(row, item_id, pos): document words inside an occurrence of a window of the item. docs: (row, text)."""
     found = candidates(items, index, window)
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "delta", "size")).alias("found"))
-    texts = (
-        docs.select("doc_id", "text")
-        .alias("l")
-        .join(per_doc.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")))
-        .select("l.doc_id", ascii_words(F.col("text")).alias("has"), "found")
-    )
+    per_doc = found.groupBy("row").agg(F.collect_list(F.struct("item", "delta", "size")).alias("found"))
+    texts = docs.select("row", "text").join(per_doc, "row").select("row", ascii_words(F.col("text")).alias("has"), "found")
 
     def beside(f: Column) -> Column:  # the words beside the item; only they travel on
         at, skip = F.greatest(f["delta"], F.lit(0)), F.greatest(-f["delta"], F.lit(0))
         return F.struct(f["item"].alias("item"), at.alias("at"), skip.alias("skip"), F.slice("has", at + 1, f["size"] - skip).alias("has"))
 
     lined = (
-        texts.select("doc_id", F.explode(F.transform("found", beside)).alias("f"))
-        .select("doc_id", "f.*")
+        texts.select("row", F.explode(F.transform("found", beside)).alias("f"))
+        .select("row", "f.*")
         .join(items.select("item", "item_id", "words"), "item")
         .withColumn("words", F.expr("slice(words, skip + 1, size(words))"))
     )
@@ -142,36 +139,37 @@ def matches(docs: DataFrame, items: DataFrame, index: DataFrame, window: int = W
     # an item shorter than the window is one window of its own length
     least = F.least(F.size("words") + F.col("skip"), F.lit(window))
     return (
-        lined.select("doc_id", "item_id", "at", F.explode(_in_windows(same, least)).alias("k"))
-        .select("doc_id", "item_id", (F.col("at") + F.col("k")).cast("long").alias("pos"))
+        lined.select("row", "item_id", "at", F.explode(_in_windows(same, least)).alias("k"))
+        .select("row", "item_id", (F.col("at") + F.col("k")).cast("long").alias("pos"))
         .distinct()
     )
 
 
-def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit and the sorted array of its item_ids."""
+def _found(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(row, n_words, n_hit, items) of every document (row, text)."""
     words = materialize(item_words(items), "items")
     index = build_index(docs, vocabulary(words))
     hit = matches(docs, words, index, window)
     per_doc = (
-        hit.groupBy("doc_id", "pos")
+        hit.groupBy("row", "pos")
         .agg(F.collect_set(F.struct("item_id")).alias("ids"))
-        .groupBy("doc_id")
+        .groupBy("row")
         .agg(F.count("*").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
     )
-    lengths = index.where(F.col("term") == _LENGTH).select("doc_id", F.col("pos").cast("long").alias("n_words"))
-    return (
-        lengths.alias("l")
-        .join(per_doc.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left")
-        .select(
-            "l.doc_id",
-            "n_words",
-            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-            F.coalesce("ids", F.array().cast(per_doc.schema["ids"].dataType)).alias("items"),
-        )
+    lengths = index.where(F.col("term") == _LENGTH).select("row", F.col("pos").cast("long").alias("n_words"))
+    none = F.array().cast(per_doc.schema["ids"].dataType)
+    return lengths.join(per_doc, "row", "left").select(
+        "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", none).alias("items")
     )
 
 
+def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit and the sorted array of its item_ids."""
+    held = numbered(docs.select("doc_id", "text"), "decontaminate-rows")
+    found = _found(held.select("row", F.col("c1").alias("text")), items, window)
+    return held.select("row", F.col("c0").alias("doc_id")).join(found, "row").drop("row")
+
+
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     """A document is contaminated if at least a twentieth of its words are hit."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
@@ -179,18 +177,20 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def keep_clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated; all columns stay."""
-    bad = scan(docs, items, window=window).where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
-    return docs.alias("l").join(bad.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left_anti")
+    held = numbered(docs, "decontaminate-rows")
+    text = F.col(f"c{docs.columns.index('text')}").alias("text")
+    bad = _found(held.select("row", text), items, window).where(contaminated(F.col("n_hit"), F.col("n_words"))).select("row")
+    return renamed(held.join(bad, "row", "left_anti"), docs.columns)
 
 
 def proximity_match(index: DataFrame, first: str, second: str, distance: int) -> DataFrame:
-    """(doc_id, a, b): positions of two words at most `distance` apart, in any order.
+    """(row, a, b): positions of two words at most `distance` apart, in any order.
 
     Postings are joined on the document and on blocks of `distance` positions, so a
     pair is met only where it may be near.
     """
     block = F.floor(F.col("pos") / F.lit(max(distance, 1)))
-    a = index.where(F.col("term") == F.xxhash64(F.lit(first))).select("doc_id", F.col("pos").alias("a"), block.alias("k"))
-    b = index.where(F.col("term") == F.xxhash64(F.lit(second))).select("doc_id", F.col("pos").alias("b"), block.alias("k"))
-    b = b.select("doc_id", "b", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
-    return a.join(b, ["doc_id", "k"]).where((F.abs(F.col("a") - F.col("b")) <= distance) & (F.col("a") != F.col("b"))).select("doc_id", "a", "b")
+    a = index.where(F.col("term") == F.xxhash64(F.lit(first))).select("row", F.col("pos").alias("a"), block.alias("k"))
+    b = index.where(F.col("term") == F.xxhash64(F.lit(second))).select("row", F.col("pos").alias("b"), block.alias("k"))
+    b = b.select("row", "b", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
+    return a.join(b, ["row", "k"]).where((F.abs(F.col("a") - F.col("b")) <= distance) & (F.col("a") != F.col("b"))).select("row", "a", "b")

@@ -150,9 +150,14 @@ w AS (
   SELECT doc_id, pos AS start, lead(pos, 2) OVER o AS last, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS c
   FROM s WHERE line <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ),
+v AS (
+  SELECT doc_id, start, last, a, b, c FROM w WHERE c IS NOT NULL
+  UNION ALL
+  SELECT doc_id, min(pos), max(pos), arg_min(line, pos), chr(10) || count(*), arg_max(line, pos)
+  FROM s WHERE line <> '' GROUP BY doc_id HAVING count(*) < 3
+),
 r AS (
-  SELECT doc_id, start, last, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, start) AS nth
-  FROM w WHERE c IS NOT NULL
+  SELECT doc_id, start, last, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, start) AS nth FROM v
 ),
 gone AS (SELECT DISTINCT doc_id, unnest(range(start, last + 1)) AS pos FROM r WHERE nth > 1),
 island AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM gone),

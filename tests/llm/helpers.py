@@ -1,5 +1,6 @@
 """Small tables with the awkward cases that every operator must take."""
 
+import duckdb
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType(
@@ -46,3 +47,34 @@ AWKWARD = [
     (13, "twice the same row"),
     (13, "twice the same row"),
 ]
+
+
+def write_tables(spark, folder, rows, **others):
+    """Parquet tables under folder: documents, and others by name as (rows, schema)."""
+    table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    for name, (more, schema) in others.items():
+        spark.createDataFrame(more, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def query(spark, folder, name):
+    import __spark_entry__
+
+    return __spark_entry__.queries()[name](spark, folder)
+
+
+def same_as_sql(spark, folder, name, rows, **others):
+    """The registered query over these tables gives what its SQL gives, columns and rows."""
+    import __spark_entry__
+
+    folder = write_tables(spark, folder, rows, **others)
+    got = query(spark, folder, name)
+    db = duckdb.connect()
+    for t in ["documents", *others]:
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = db.sql(__spark_entry__.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    place = [want.columns.index(c) for c in got.columns]
+    have = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert have == sorted((tuple(r[i] for i in place) for r in want.fetchall()), key=repr)
+    return have

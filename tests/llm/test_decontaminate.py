@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import decontaminate
 
-from .helpers import AWKWARD, table
+from .helpers import AWKWARD, query, same_as_sql, table
 
 
 def words(text):
@@ -13,7 +13,7 @@ def words(text):
 
 
 def brute(docs, items, window=13):
-    out = {}
+    out = []
     for doc_id, text in docs:
         w, hit, ids = words(text), set(), set()
         for item_id, item in items:
@@ -24,14 +24,14 @@ def brute(docs, items, window=13):
                 if n and tuple(w[i : i + n]) in grams:
                     hit.update(range(i, i + n))
                     ids.add(str(item_id))
-        out[doc_id] = (len(w), len(hit), sorted(ids))
-    return out
+        out.append((str(doc_id), len(w), len(hit), sorted(ids)))
+    return sorted(out)
 
 
 def run(spark, docs, items):
     rows = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash")).withColumn("term", F.lit(1))
     got = decontaminate.scan(table(spark, docs).repartition(3), rows).collect()
-    return {r.doc_id: (r.n_words, r.n_hit, sorted(str(x.item_id) for x in r["items"])) for r in got}
+    return sorted((str(r.doc_id), r.n_words, r.n_hit, sorted(str(x.item_id) for x in r["items"])) for r in got)
 
 
 def test_equals_brute_force(spark):
@@ -40,14 +40,14 @@ def test_equals_brute_force(spark):
     some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     items = [(i, some(rng.choice([13, 14, 20, 40]))) for i in range(25)]
     items += [(100, "short item text"), (101, "the"), (102, None), (103, " ., "), (104, "words that nobody ever wrote before now or later on at all ok"), (104, "Again 104 of another text")]
-    docs = [r for r in AWKWARD if r[0] not in (None, 13)]
+    docs = AWKWARD + [(None, items[0][1]), (1003, "same id, other text"), (1003, items[1][1])]
     for i in range(80):
         item = rng.choice(items[:26])[1]
         cut = item.split()[rng.randint(0, 4) : rng.choice([13, 17, 60])]
         docs.append((1000 + i, f"{some(rng.randint(0, 60))} {' '.join(cut).upper()}, {some(rng.randint(0, 40))}" + f" {item}" * rng.choice([0, 0, 1, 3])))
     got = run(spark, docs, items)
     assert got == brute(docs, items)
-    assert sum(1 for n, hit, _ in got.values() if hit) > 20
+    assert sum(1 for _, _, hit, _ in got if hit) > 20
 
 
 def test_a_passage_in_most_documents(spark):
@@ -59,34 +59,35 @@ def test_a_passage_in_most_documents(spark):
 def test_keep_clean_and_threshold(spark):
     passage = " ".join(f"p{i}" for i in range(13))
     filler = " ".join(f"f{i}" for i in range(246))
-    docs = table(spark, [(1, f"{passage} {filler}"), (2, f"{passage} {filler} x y"), (3, None), (None, "other"), (5, passage), (5, passage)])
+    docs = table(spark, [(1, f"{passage} {filler}"), (2, f"{passage} {filler} x y"), (3, None), (None, "other"), (None, passage), (5, passage), (5, "clean, with the id of another"), (5, passage)])
     items = spark.createDataFrame([(1, passage)], "item_id long, text string")
     left = decontaminate.keep_clean(docs, items)
     assert left.columns == docs.columns
     # 13 of 259 words are over a twentieth; 13 of 261 are not
-    assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "3", "None"]
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "3", "5", "None"]
+    assert {r.text for r in left.collect()} >= {"other", "clean, with the id of another"}
 
 
 def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "some words")], "item_id long, text string")
     assert decontaminate.scan(table(spark, []), items).count() == 0
-    assert run(spark, [(1, "some words")], [(1, None)]) == {1: (2, 0, [])}
+    assert run(spark, [(1, "some words")], [(1, None)]) == [("1", 2, 0, [])]
     got = decontaminate.scan(table(spark, [(1, "some words")]), items.limit(0)).collect()
     assert [(r.doc_id, r.n_words, r.n_hit) for r in got] == [(1, 2, 0)]
 
 
 def test_wide_vocabulary_takes_the_shuffle_join(spark):
-    docs = table(spark, [(1, "a b c d"), (2, None)])
+    docs = table(spark, [(1, "a b c d"), (2, None)]).withColumnRenamed("doc_id", "row")
     words_ = spark.createDataFrame([("a",), ("c",)], "word string").withColumn("term", F.xxhash64("word"))
     index = decontaminate.build_index(docs, words_, max_broadcast=0)
-    assert sorted((r.doc_id, r.pos) for r in index.collect()) == [(1, 0), (1, 2), (1, 4), (2, 0)]
+    assert sorted((r.row, r.pos) for r in index.collect()) == [(1, 0), (1, 2), (1, 4), (2, 0)]
 
 
 def test_proximity(spark):
-    docs = table(spark, [(1, "red x x blue x red"), (2, "blue"), (3, "red " * 4 + "x " * 50 + "blue")])
+    docs = table(spark, [(1, "red x x blue x red"), (2, "blue"), (3, "red " * 4 + "x " * 50 + "blue")]).withColumnRenamed("doc_id", "row")
     index = decontaminate.build_index(docs)
     for d in (1, 2, 3, 60):
-        got = {(r.doc_id, r.a, r.b) for r in decontaminate.proximity_match(index, "red", "blue", d).collect()}
+        got = {(r.row, r.a, r.b) for r in decontaminate.proximity_match(index, "red", "blue", d).collect()}
         want = {
             (i, a, b)
             for i, t in [(1, "red x x blue x red"), (2, "blue"), (3, "red " * 4 + "x " * 50 + "blue")]
@@ -95,3 +96,13 @@ def test_proximity(spark):
             if u == "red" and v == "blue" and abs(a - b) <= d
         }
         assert got == want
+
+
+def test_sql_gives_the_same_rows_without_python_workers(spark, tmp_path):
+    passage = " ".join(f"P{i}" for i in range(40))
+    rows = [r for r in AWKWARD if r[0] not in (None, 6, 7, 13)] + [(20 + i, f"own words {i} " * i + passage[3 * i :]) for i in range(20)]
+    items = [(i, passage[i * 9 :]) for i in range(9)] + [(9, "own WORDS 7"), (10, None)]
+    got = same_as_sql(spark, tmp_path, "op8_decontaminate", rows, benchmark=(items, "item_id long, text string"))
+    assert sum(r[-1] for r in got) > 5
+    plan = query(spark, str(tmp_path), "op8_decontaminate")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

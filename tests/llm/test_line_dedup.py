@@ -2,48 +2,55 @@ import random
 
 from loomtext.llm import line_dedup
 
-from .helpers import AWKWARD, table
+from .helpers import AWKWARD, same_as_sql, table
 
 
 def brute(rows):
-    """rows in order of doc_id; {doc_id: (text, n_removed)}"""
-    first, gone = {}, {}
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
-    for doc_id, text in order:
+    """Sorted (doc_id, text, n_removed); of rows with the same id the first in the table is the earlier."""
+    first, out = {}, []
+    for n, (doc_id, text) in sorted(enumerate(rows), key=lambda r: (r[1][0] is not None, r[1][0] or 0, r[0])):
         lines = [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate((text or "").split("\n"))]
         lines = [x for x in lines if x[1]]
-        for a, b, c in zip(lines, lines[1:], lines[2:]):
-            key = (a[1], b[1], c[1])
-            if first.setdefault(key, (doc_id, a[0])) != (doc_id, a[0]):
-                gone.setdefault(doc_id, set()).update(range(a[0], c[0] + 1))
-    out = {}
-    for doc_id, text in order:
-        g = gone.get(doc_id, set())
-        out[doc_id] = (None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in g), len(g))
-    return out
+        gone = set()
+        for at in zip(lines, lines[1:], lines[2:]) if len(lines) > 2 else [lines] if lines else []:
+            if first.setdefault(tuple(x for _, x in at), (n, at[0][0])) != (n, at[0][0]):
+                gone.update(range(at[0][0], at[-1][0] + 1))
+        kept = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+        out.append((doc_id or -1, kept or "", kept is None, len(gone)))
+    return sorted(out)
 
 
-def rows_of(spark, rows, parts=3):
-    return {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(table(spark, rows).repartition(parts)).collect()}
+def run(docs):
+    return sorted((r.doc_id or -1, r.text or "", r.text is None, r.n_removed) for r in line_dedup.dedup(docs).collect())
 
 
 def test_equals_brute_force(spark):
     rng = random.Random(9)
-    rows = [r for r in AWKWARD if r[0] != 13] + [(20, "a\nb"), (21, "a\nb"), (22, "x\n" * 9), (23, " a \n\n b\t\nc\r\n"), (24, "a\nb\n\n\nc"), (25, "q\na\nb\nc\nd\ne")]
+    rows = AWKWARD + [(20, "a\nb"), (21, "a\nb"), (22, "x\n" * 9), (23, " a \n\n b\t\nc\r\n"), (24, "a\nb\n\n\nc"), (25, "q\na\nb\nc\nd\ne")]
     for i in range(120):
         rows.append((100 + i, "\n".join(rng.choice(["one", "two", "", " three", "four", "five\t"]) for _ in range(rng.randint(0, 12)))))
-    assert rows_of(spark, rows) == brute(rows)
+    assert run(table(spark, rows).repartition(3)) == brute(rows)
 
 
 def test_a_passage_goes_from_all_but_the_first(spark):
     passage = "\n".join(f"line {i} of the passage" for i in range(6))
     rows = [(i, f"own start {i}\n{passage}\nown end {i}") for i in range(30)]
-    got = rows_of(spark, rows, 4)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(table(spark, rows).repartition(4)).collect()}
     assert got[0] == (rows[0][1], 0)
     assert all(got[i] == (f"own start {i}\nown end {i}", 6) for i in range(1, 30))
 
 
-def test_repeated_rows_and_empty_table(spark):
-    text = "a\nb\nc\nd"
-    assert line_dedup.dedup(table(spark, [(1, text), (1, text)])).select("text").distinct().collect()[0].text == text
+def test_rows_that_share_an_id_or_have_none_keep_their_own_lines(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc\nd"), (2, "u\nv\nw\nx"), (2, "u\nv\nw\ny"), (None, "k\nl\nm"), (None, "only\nhere\never"), (None, "k\nl\nm"), (3, "a\nb\nc"), (3, "a\nb\nc")]
+    got = run(table(spark, rows))
+    assert got == brute(rows)
+    assert (2, "u\nv\nw\nx", False, 0) in got and (-1, "only\nhere\never", False, 0) in got
+
+
+def test_empty_table(spark):
     assert line_dedup.dedup(table(spark, [])).count() == 0
+
+
+def test_sql_gives_the_same_rows(spark, tmp_path):
+    rows = [r for r in AWKWARD if r[0] not in (None, 13)] + [(20 + i, f"{'x' * (i % 3)}\n\nb {i % 4}\n" + "c\nd" * (i % 2)) for i in range(40)]
+    same_as_sql(spark, tmp_path, "op3_line_dedup", rows)
