@@ -48,15 +48,32 @@ BLOCK = 1 << 20
 GAP, STEP = 96, 48
 CACHE = 400_000
 VOCABULARY = "word_bpe_49k.json"
-_PLAIN = re.compile(rb"[a-z]{1,64}")
 _LATIN = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64}")
-#: a run of ASCII marks from a letter or digit to white space
-_MARKS = re.compile(rb"[!-/:-@\[-`{-~](?<=[a-z0-9].)[!-/:-@\[-`{-~]*(?=[\x20\x09-\x0d])", re.S)
+#: kinds of bytes: 1 a-z and digits, 2 ASCII marks, 3 ASCII white space, 0 others
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = 1
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+_KIND[[*range(9, 14), 32]] = 3
+#: the marks that join with a small letter of a-z and not with its capital: U+0308, U+030A, U+030C, U+0331 and, for U+0308, U+0344
+_JOIN = re.compile(rb"\xcc[\x88\x8a\x8c\xb1]|\xcd\x84")
 #: byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
+def _joins(text: bytes) -> bool:
+    return (b"\xcc" in text or b"\xcd" in text) and _JOIN.search(text) is not None
+
+
+def _spaced(texts: list[bytes]) -> list[bytes]:
+    """The texts with a space before each run of ASCII marks from a letter or digit to white space."""
+    a = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)  # a byte that UTF-8 does not have
+    kind = _KIND[a]
+    edges = np.flatnonzero(np.diff(kind == 2, prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    return np.insert(a, starts[(kind[starts - 1] == 1) & (kind[ends] == 3)], 32).tobytes().split(b"\xff")[:-1]
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -97,10 +114,11 @@ class Encoder:
         words, rest = [], []
         merge = self.tokenizer.model.tokenize
         for p in pieces:
+            if p.isalpha() and p.islower() and len(p) <= 64:
+                out[p] = array("I", [x.id for x in merge(p.decode())]).tobytes()
+                continue
             t = p.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(p):
-                out[p] = array("I", [x.id for x in merge(t)]).tobytes()
-            elif _LATIN.fullmatch(t):
+            if _LATIN.fullmatch(t):
                 out[p] = array("I", [x.id for x in merge(t.lower().encode().decode("latin-1").translate(_BYTES))]).tobytes()
             else:
                 (words if t.isalpha() else rest).append((p, t))
@@ -121,25 +139,36 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # Case and a space before closing marks make no difference to the tokeniser, but make
-        # fewer distinct pieces; texts that may hold special tokens are left alone.
-        split = [(t if b"<|" in t else _MARKS.sub(rb" \g<0>", t.lower())).split() for t in texts]  # at ASCII white space only
+        # fewer distinct pieces; texts that may hold special tokens are left alone, and so is
+        # the case where a mark may follow that only a small letter joins with.
+        special = {i: t for i, t in enumerate(texts) if b"<|" in t}
+        texts = _spaced([b"" if i in special else t if _joins(t) else t.lower() for i, t in enumerate(texts)])
+        split = [special.get(i, t).split() for i, t in enumerate(texts)]  # at ASCII white space only
         if len(self.cache) > CACHE:  # two generations: what is still in use is carried over
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
-        new = []
-        for p in set().union(*split) - cache.keys():
-            ids = older.get(p)
-            if ids is None:
-                new.append(p)
-            else:
-                cache[p] = ids
-        if new:
-            cache.update(self._ids(new))
-        out = [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
+        found, short, new = [], [], set()
+        for pieces in split:
+            ids = list(map(cache.get, pieces))
+            try:
+                found.append(b"".join(ids))
+            except TypeError:  # some are not in the cache
+                at = [i for i, x in enumerate(ids) if x is None]
+                new.update([pieces[i] for i in at])
+                short.append((len(found), pieces, ids, at))
+                found.append(None)
+        again = {p: ids for p in new if (ids := older.get(p)) is not None}
+        cache.update(again)
+        new = [p for p in new if p not in again]
+        cache.update(self._ids(new))
+        for n, pieces, ids, at in short:
+            for i in at:
+                ids[i] = cache[pieces[i]]
+            found[n] = b"".join(ids)
         for p in new:
             if len(p) > 64:  # long pieces are seldom met again
                 del cache[p]
-        return out
+        return found
 
 
 @functools.cache
@@ -153,9 +182,17 @@ def plan(at: list[int], penalty: list[int], limit: int = LIMIT) -> list[int]:
 
     at: strictly increasing positions from 0 where a cut may be, at most limit apart.
     """
-    powers = [1 << k for k in range(6, limit.bit_length()) if 1 << k < limit]
-    index = {p: i for i, p in enumerate(at)}
-    best, back = [0] * len(at), [0] * len(at)
+    place = np.array(at, np.int64)
+    ends, starts = [], []  # pairs of cuts that are a smaller power of two apart
+    for k in range(6, limit.bit_length() - 1):
+        i = np.searchsorted(place, place - (1 << k))
+        hit = np.flatnonzero(place[i] == place - (1 << k))
+        ends.append(hit)
+        starts.append(i[hit])
+    ends, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ends, starts))
+    order = np.argsort(ends, kind="stable")
+    ends, starts = [*ends[order].tolist(), -1], starts[order].tolist()
+    best, back, m = [0] * len(at), [0] * len(at), 0
     queue = deque([(0, 0)])  # (best_i + p_i, i), increasing
     for j in range(1, len(at)):
         p = at[j]
@@ -163,15 +200,17 @@ def plan(at: list[int], penalty: list[int], limit: int = LIMIT) -> list[int]:
             queue.popleft()
         value, i = queue[0]
         cost = value + limit - p
-        for w in powers:
-            k = index.get(p - w)
-            if k is not None and best[k] < cost:
+        while ends[m] == j:
+            k = starts[m]
+            m += 1
+            if best[k] < cost:
                 cost, i = best[k], k
         cost += penalty[j] + EACH
         best[j], back[j] = cost, i
-        while queue and queue[-1][0] >= cost + p:
+        value = cost + p
+        while queue and queue[-1][0] >= value:
             queue.pop()
-        queue.append((cost + p, j))
+        queue.append((value, j))
     cuts, j = [], len(at) - 1
     while j:
         cuts.append(j)

@@ -1,4 +1,6 @@
 import random
+import string
+import unicodedata
 
 import numpy as np
 import pytest
@@ -42,6 +44,14 @@ def check(pieces, docs, encoder, limit):
     return padding / sum(p["length"] for p in pieces)
 
 
+def test_ids_of_capitals_with_combining_marks(encoder):
+    marks = [chr(c) for c in range(0x300, 0x3100) if unicodedata.combining(chr(c))]
+    texts = [" ".join(f"{c}{m}x a{c}{m}. {c.lower()}{m}" for c in string.ascii_uppercase) for m in marks]
+    texts += [f"Above {c}\u0323{m} and {c}\u05b0{m}\u0331 Below" for c in string.ascii_uppercase for m in "\u0308\u030a\u030c\u0331\u0344\u0301"]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() + [packing.END_ID] == whole(encoder, text), ascii(text)
+
+
 def test_ids_by_piece_equal_ids_by_text(encoder):
     texts = [
         "It's Mr. O'Neil's, isn't it?\nYes\t!!\r\n\x0b\x0c done...",
