@@ -6,19 +6,20 @@ few hundred k-grams whatever the input, so that side is broadcast and documents
 neither sorted nor shuffled by k-gram; the only shuffle moves the matches, with one
 length row per document.
 
-A match votes for its diagonal, document position less template position. Votes on one
-diagonal, and on neighbouring ones up to `DRIFT` apart (an inserted or lost word shifts
-the rest of a text), merge into spans while their gaps stay under `GAP` words. A span is
-verified by the share of the template's words that its matches cover: short phrases have
-to match whole, longer texts by `COVER`. Of longer texts whose spans overlap, those with
-the most votes stay.
+A match votes for its diagonal, document position less template position, so the votes
+of one copy of a template meet there, whatever stray matches stand between them. They are
+counted by (row, template, diagonal). Diagonals of a template that are at most `DRIFT`
+apart (an inserted or lost word shifts the rest of a text) merge into one span. A span is
+verified by the share of the template's words that its matches cover: base phrases have to
+match whole on one diagonal, longer texts by `COVER`. A longer text stays unless a span
+that overlaps it has more votes; spans meet in blocks of `GAP` words for that.
 
-The base phrases are templates like the rest; their places are whole matches on one
-diagonal. Labels of longer texts come on top and never remove a base label.
+The base phrases are templates like the rest; a place of one is a diagonal on which all
+its k-grams match. Labels of longer texts come on top and never remove a base label.
 
 Defined results: words are runs of ASCII digits and letters and of all non-ASCII
 characters, A-Z lower-cased; null text is empty, and a document without matches has no
-labels, score 0 and null first and last words. Repeated rows each get their result, null
+labels, score 0 and null first and last words; texts of fewer words than k have no matches. Repeated rows each get their result, null
 ids included. Other columns are not looked at.
 """
 
@@ -32,7 +33,7 @@ from .common import ascii_words, materialize, shifted
 
 K = 3
 DRIFT = 3
-GAP = 12
+GAP = 64
 COVER = 0.75
 BROADCAST_GRAMS = 100_000
 
@@ -43,7 +44,7 @@ BASE = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: label and text of common license headers
+#: label and text of common license headers and whole licenses, in the words that the scan sees
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
@@ -55,6 +56,52 @@ TEMPLATES = (
     ("lgpl", "under the terms of the gnu lesser general public license"),
     ("agpl-3", "under the terms of the gnu affero general public license version 3"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to "
+        "the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to "
+        "the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright "
+        "holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or "
+        "in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+        "obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+        "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express "
+        "or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+        "the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions "
+        "are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution",
+    ),
+    (
+        "zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and "
+        "redistribute it freely subject to the following restrictions",
+    ),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "bsl-1",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license",
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 )
 
@@ -90,35 +137,41 @@ def votes(docs: DataFrame, base=BASE, texts=TEMPLATES) -> DataFrame:
 
 
 def spans(found: DataFrame, k: int = K) -> DataFrame:
-    """Verified spans (doc_id, row, template, label, base, start, last, share) of the votes."""
-    found = found.where("template >= 0").withColumn("diagonal", F.col("pos") - F.col("at"))
-    by_place = W.partitionBy("row", "template").orderBy("pos", "at")
-    # a new span begins after a gap, on a far diagonal, or where the template starts again
-    fresh = (
-        F.lag("pos").over(by_place).isNull()
-        | (F.col("pos") - F.lag("pos").over(by_place) > GAP)
-        | (F.abs(F.col("diagonal") - F.lag("diagonal").over(by_place)) > F.when(F.col("base"), 0).otherwise(DRIFT))
-        | (F.col("at") <= F.lag("at").over(by_place))
+    """Verified spans (row, template, label, base, start, last, votes, share) of the votes."""
+    of = ["row", "template", "label", "base", "size"]
+    # one diagonal holds at most as many votes as the template has k-grams
+    lines = (
+        found.where("template >= 0")
+        .withColumn("diagonal", F.col("pos") - F.col("at"))
+        .groupBy(*of, "diagonal")
+        .agg(F.collect_set("at").alias("ats"))
+        .where(~F.col("base") | (F.size("ats") == F.col("size") - k + 1))
     )
-    runs = found.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_place))
-    covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + k - 1)))))
-    whole = (
-        runs.groupBy("doc_id", "row", "template", "label", "base", "size", "run")
-        .agg(F.min("pos").alias("start"), (F.max("pos") + k - 1).alias("last"), F.count("*").alias("votes"), covered.alias("covered"))
-        .withColumn("share", F.col("covered") / F.col("size"))
-        .where(F.when(F.col("base"), F.col("covered") == F.col("size")).otherwise(F.col("share") >= COVER))
+    by_diagonal = W.partitionBy("row", "template").orderBy("diagonal")
+    before = F.lag("diagonal").over(by_diagonal)
+    fresh = before.isNull() | F.col("base") | (F.col("diagonal") - before > DRIFT)
+    runs = lines.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_diagonal))
+    merged = runs.groupBy(*of, "run").agg(
+        F.min(F.col("diagonal") + F.array_min("ats")).alias("start"),
+        F.max(F.col("diagonal") + F.array_max("ats") + k - 1).alias("last"),
+        F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"),
     )
-    # spans that overlap compete: the most votes win, and base phrases always stay
-    in_order = W.partitionBy("row").orderBy("start", "last", "template").rowsBetween(W.unboundedPreceding, -1)
-    apart = F.coalesce(F.col("start") > F.max("last").over(in_order), F.lit(True))
-    grouped = whole.withColumn("apart", apart.cast("int")).withColumn(
-        "cluster", F.sum("apart").over(W.partitionBy("row").orderBy("start", "last", "template").rowsBetween(W.unboundedPreceding, 0))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + k - 1)))))
+    whole = (
+        merged.select("row", "template", "label", "base", "start", "last", F.size("ats").alias("votes"), (covered / F.col("size")).alias("share"))
+        .where(F.col("base") | (F.col("share") >= COVER))
     )
-    return (
-        grouped.withColumn("most", F.max("votes").over(W.partitionBy("row", "cluster")))
-        .where("base OR votes = most")
-        .select("doc_id", "row", "template", "label", "base", "start", "last", "share")
+    # a longer text goes if one that overlaps it has more votes: its span meets all those in its blocks
+    sides = whole.select("row", "base", "start", "last", "votes", F.explode(F.sequence(F.floor(F.col("start") / GAP), F.floor(F.col("last") / GAP))).alias("block"))
+    best = sides.where("NOT base").groupBy("row", "block").agg(F.collect_set(F.struct("start", "last", "votes")).alias("near"))
+    lost = (
+        sides.where("NOT base")
+        .join(best, ["row", "block"])
+        .where(F.exists("near", lambda x: (x["votes"] > F.col("votes")) & (x["start"] <= F.col("last")) & (x["last"] >= F.col("start"))))
+        .select("row", "base", "start", "last", "votes")
+        .distinct()
     )
+    return whole.join(lost, ["row", "base", "start", "last", "votes"], "left_anti")
 
 
 def scan(docs: DataFrame, base=BASE, texts=TEMPLATES) -> DataFrame:

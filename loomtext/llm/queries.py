@@ -201,7 +201,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def _op10_sql() -> str:
-    from .license_scan import BASE, COVER, DRIFT, GAP, TEMPLATES
+    from .license_scan import BASE, COVER, DRIFT, TEMPLATES
 
     rows = [f"({i}, '{label}', '{text}', true)" for i, (text, label) in enumerate(BASE)]
     rows += [f"({len(BASE) + i}, '{label}', '{text}', false)" for i, (label, text) in enumerate(TEMPLATES)]
@@ -217,25 +217,32 @@ dg AS (
   SELECT doc_id, p, array_to_string(list_slice(w, p + 1, p + 3), ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS p FROM d WHERE len(w) > 2)
 ),
-v AS (SELECT doc_id, template, label, base, size, p, a, p - a AS diag FROM dg JOIN tg USING (g)),
+v AS (SELECT DISTINCT doc_id, template, label, base, size, a, p - a AS diag FROM dg JOIN tg USING (g)),
+line AS (
+  SELECT doc_id, template, label, base, size, diag, list(a) AS ats FROM v
+  GROUP BY doc_id, template, label, base, size, diag HAVING NOT base OR count(*) = size - 2
+),
 f AS (
-  SELECT *, CASE WHEN lag(p) OVER o IS NULL OR p - lag(p) OVER o > {GAP}
-                   OR abs(diag - lag(diag) OVER o) > CASE WHEN base THEN 0 ELSE {DRIFT} END
-                   OR a <= lag(a) OVER o THEN 1 ELSE 0 END AS fresh
-  FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY p, a)
+  SELECT *, CASE WHEN base OR lag(diag) OVER o IS NULL OR diag - lag(diag) OVER o > {DRIFT} THEN 1 ELSE 0 END AS fresh
+  FROM line WINDOW o AS (PARTITION BY doc_id, template ORDER BY diag)
 ),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY p, a ROWS UNBOUNDED PRECEDING) AS run FROM f),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diag ROWS UNBOUNDED PRECEDING) AS run FROM f),
 s AS (
-  SELECT doc_id, template, label, base, size, run, min(p) AS start, max(p) + 2 AS last, count(DISTINCT a) AS votes, count(DISTINCT x) / size AS share
-  FROM (SELECT *, unnest(range(a, a + 3)) AS x FROM r) GROUP BY doc_id, template, label, base, size, run
-  HAVING CASE WHEN base THEN count(DISTINCT x) = size ELSE count(DISTINCT x) / size >= {COVER} END
+  SELECT doc_id, label, base, min(diag + list_min(ats)) AS start, max(diag + list_max(ats)) + 2 AS last,
+         list_distinct(flatten(list(ats))) AS ats, size
+  FROM r GROUP BY doc_id, template, label, base, size, run
 ),
 g AS (
-  SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY start, last, template ROWS UNBOUNDED PRECEDING) AS cluster FROM (
-    SELECT *, CASE WHEN start <= max(last) OVER (PARTITION BY doc_id ORDER BY start, last, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS apart
-    FROM s)
+  SELECT doc_id, label, base, start, last, len(ats) AS votes,
+         len(list_distinct(flatten([ats, [x + 1 FOR x IN ats], [x + 2 FOR x IN ats]]))) / size AS share
+  FROM s
+),
+w AS (SELECT * FROM g WHERE base OR share >= {COVER}),
+b AS (
+  SELECT * FROM w WHERE base OR NOT EXISTS (
+    SELECT 1 FROM w AS x
+    WHERE NOT x.base AND x.doc_id = w.doc_id AND x.votes > w.votes AND x.start <= w.last AND x.last >= w.start)
 ),
-b AS (SELECT * FROM (SELECT *, max(votes) OVER (PARTITION BY doc_id, cluster) AS most FROM g) WHERE base OR votes = most),
 o AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
