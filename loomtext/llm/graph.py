@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the least node.
 
     Alternating large-star and small-star rounds: each links nodes straight to the
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         "edges",
     )
     before = _state(now)
-    for _ in range(max_rounds if before[0] else 0):
+    while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -45,9 +45,6 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         if after == before:
             break
         before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import fold, sampled_texts
+from .sampling import bounded_sample, fold, sampled_texts
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 STEP = WINDOW - max(WIDTHS) + 1
-#: the bounds of the training sample: documents per language, languages, windows per document
-PER_LANGUAGE, LANGUAGES, WINDOWS = 400, 200, 6
+#: the bounds of the training sample: documents per language, windows per document
+PER_LANGUAGE, WINDOWS = 400, 6
 EPOCHS, BATCH, RATE = 4, 48, 0.01
 BLOCK = 2048  # windows at a time
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -214,12 +214,7 @@ def learnable(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> Network | None:
     """Train on a bounded sample: the least PER_LANGUAGE ids by hash of each language."""
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    from .sampling import bounded_sample
-
-    if not names:
-        return None
-    sample = bounded_sample(known.withColumnRenamed("lang", "label"), "label", PER_LANGUAGE, names)
+    sample = bounded_sample(known.withColumnRenamed("lang", "label"), "label", PER_LANGUAGE)
     rows = sampled_texts(docs, sample).select(F.col("text").cast("binary").alias("raw"), "label")
     spread = _spread_windows(rows).collect()  # windows only: bounded by the sample's parameters
     return train([(bytes(r["raw"]), r["label"]) for r in spread])

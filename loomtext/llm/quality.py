@@ -18,7 +18,7 @@ goes out in a broadcast.
 
 Defined results: null is an empty text; a text without words is scored from zero vectors.
 Without labels of both classes the score is the share of label 1, or 0.5. Where labels
-repeat a doc_id, equal ones count once. Rows, also repeated ones, each get their result.
+repeat a doc_id, equal ones count once; documents that repeat one are learned from each. Rows, also repeated ones, each get their result.
 Other columns are not looked at; an empty table gives an empty result.
 """
 
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +75,12 @@ def index_vectors(count: int, dim: int = DIM, ones: int = ONES) -> np.ndarray:
     return out
 
 
+def key(word: bytes) -> bytes:
+    """What a word is known by: itself, lower-cased, or a 128-bit hash where it is long."""
+    word = word.lower()
+    return word if len(word) <= 64 else b"\0" + xxhash.xxh128_digest(word)
+
+
 class Symbols:
     """Symbol numbers of the words of a text: shapes first, then the vocabulary."""
 
@@ -97,7 +104,7 @@ class Symbols:
             s = cache.get(w)
             if s is None:
                 look = shape(w)
-                s = (known.get(w.lower(), look), look)
+                s = (known.get(key(w), look), look)
                 if len(w) <= 64:
                     cache[w] = s
             got.append(s)
@@ -207,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("raw"):
-                found = sorted({w.lower() for w in (raw.as_py() or b"").split() if len(w) <= 64})
+                found = sorted({key(w) for w in (raw.as_py() or b"").split()})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["word"])
 
     frequent = texts.select("raw").mapInArrow(words_of, "word binary").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
@@ -236,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(pool, f"doc_id {kind}, label int, x binary").collect()
-    rows.sort(key=lambda r: (hash_order(r["doc_id"]), r["label"]))
+    rows.sort(key=lambda r: (hash_order(r["doc_id"]), r["label"], bytes(r["x"])))
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float32) for r in rows]) if rows else np.zeros((0, 2 * DIM + _REPEATS), np.float32)
     y = np.array([r["label"] for r in rows], np.float64)
     seen = {c: max(1, int((y == c).sum())) for c in (0, 1)}

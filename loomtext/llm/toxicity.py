@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,11 @@ FEATURES = (
 )
 
 
+def key(word: str) -> str:
+    """What a stripped, lower-cased word is known by: itself, or a 128-bit hash where it is long."""
+    return word if len(word) <= 64 else "\0" + xxhash.xxh128_hexdigest(word)
+
+
 @dataclass
 class Lexicon:
     """Learned words and word beginnings with their log-odds."""
@@ -81,7 +87,7 @@ class Lexicon:
         None for a word without any.
         """
         plain = word.strip(_STRIP).lower()
-        learned = self.words.get(plain, 0.0)
+        learned = self.words.get(key(plain), 0.0)
         get = self.begins.get
         begin = max(get(plain[:4], 0.0), get(plain[:5], 0.0), get(plain[:6], 0.0)) if len(plain) >= 4 else 0.0
         listed, second = plain in INSULTS, plain in SECOND_PERSON
@@ -248,8 +254,8 @@ def _unit_counts(texts: DataFrame) -> DataFrame:
         totals: dict[tuple, Counter] = {}
         for batch in batches:
             for text, label, part in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "part"))):
-                words = {w.lower().strip(_STRIP) for w in (text or "").split() if len(w) <= 64}
-                units = {f"w{w}" for w in words if len(w) > 1} | {f"b{w[:k]}" for w in words for k in PREFIXES if len(w) >= k}
+                words = {w.lower().strip(_STRIP) for w in (text or "").split()}
+                units = {f"w{key(w)}" for w in words if len(w) > 1} | {f"b{w[:k]}" for w in words for k in PREFIXES if len(w) >= k}
                 totals.setdefault((label, part), Counter()).update(units)
             if sum(map(len, totals.values())) > 500_000:
                 yield from flush(totals)
@@ -319,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     units = materialize(_unit_counts(texts), "toxic-units")
     lexicon = _lexicon(units, sizes, None)
     rows = _sample_features(texts, [_lexicon(units, sizes, k) for k in range(FOLDS)]).collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["label"]))
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["label"], bytes(r["x"])))
     x = np.array([np.frombuffer(bytes(r["x"])) for r in rows]).reshape(len(rows), len(FEATURES))
     y = np.array([r["label"] for r in rows], float)
     if len(set(y.tolist())) < 2:
