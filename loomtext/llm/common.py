@@ -43,7 +43,7 @@ def _folder(spark: SparkSession, *parts: str) -> str:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
@@ -55,18 +55,20 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 def write(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet and read it back; its shuffle files go as soon as it is written."""
     spark = df.sparkSession
-    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, *, outer: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     That cuts the lineage at files which survive the loss of any executor, and
-    gives the optimizer true sizes for what comes after.
+    gives the optimizer true sizes for what comes after. outer writes it so that it
+    outlasts the scope that is open.
     """
-    return write(df, _folder(df.sparkSession, *_scopes, f"{label}-{uuid.uuid4().hex}"))
+    scopes = _scopes[:-1] if outer else _scopes
+    return write(df, _folder(df.sparkSession, *scopes, f"{label}-{uuid.uuid4().hex}"))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -75,15 +77,24 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[str]:
-    """A folder for the intermediate tables made inside, deleted at the end."""
+def scope(spark: SparkSession, *, keep: list[str] | None = None) -> Iterator[None]:
+    """A folder for the intermediate tables made inside, deleted at the end, or noted in `keep` for later."""
     _scopes.append(f"scope-{uuid.uuid4().hex}")
     path = _folder(spark, *_scopes)
     try:
-        yield path
+        yield
     finally:
         _scopes.pop()
-        _delete(spark, path)
+        if keep is None:
+            _delete(spark, path)
+        else:
+            keep.append(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the folders and forget them."""
+    while paths:
+        _delete(spark, paths.pop())
 
 
 def release(spark: SparkSession) -> None:

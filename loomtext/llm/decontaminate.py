@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, materialize, numbered, renamed
+from .common import ascii_words, materialize, numbered, renamed, scope
 
 WINDOW = 13
 BROADCAST_TERMS = 200_000
@@ -166,7 +166,8 @@ def _found(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
 def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit and the sorted array of its item_ids."""
     held = numbered(docs.select("doc_id", "text"), "decontaminate-rows")
-    found = _found(held.select("row", F.col("c1").alias("text")), items, window)
+    with scope(docs.sparkSession):
+        found = materialize(_found(held.select("row", F.col("c1").alias("text")), items, window), "decontaminate-found", outer=True)
     return held.select("row", F.col("c0").alias("doc_id")).join(found, "row").drop("row")
 
 
@@ -179,7 +180,9 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> Da
     """The documents that are not contaminated; all columns stay."""
     held = numbered(docs, "decontaminate-rows")
     text = F.col(f"c{docs.columns.index('text')}").alias("text")
-    bad = _found(held.select("row", text), items, window).where(contaminated(F.col("n_hit"), F.col("n_words"))).select("row")
+    with scope(docs.sparkSession):
+        bad = _found(held.select("row", text), items, window).where(contaminated(F.col("n_hit"), F.col("n_words"))).select("row")
+        bad = materialize(bad, "decontaminate-bad", outer=True)
     return renamed(held.join(bad, "row", "left_anti"), docs.columns)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, numbered, shifted
+from .common import materialize, numbered, scope, shifted
 
 _WHITE = " \t\r\x0b\x0c"
 
@@ -95,7 +95,8 @@ def _without(text: Column, spans: Column) -> Column:
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_removed, spans) per document, text without removed lines."""
     held = numbered(docs.select("doc_id", "text"), "line-rows").select(F.col("c0").alias("id"), "row", F.col("c1").alias("text"))
-    spans = removed_spans(held)
+    with scope(docs.sparkSession):
+        spans = materialize(removed_spans(held), "line-spans", outer=True)
     both = held.join(spans, "row", "left")
     gone = F.aggregate(F.col("spans"), F.lit(0), lambda n, s: n + s["last"] - s["start"] + 1)
     return both.select(

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, renamed
+from .common import materialize, numbered, renamed, scope
 from .graph import connected_components
 
 SHINGLE_WORDS = 3
@@ -183,9 +183,12 @@ def dedup(docs: DataFrame, *, shingle: int = SHINGLE_WORDS, bucket: int = BUCKET
     """
     doc, text = docs.columns.index("doc_id"), docs.columns.index("text")
     held = numbered(docs, "simhash-held")
-    parts = components(held.select(F.col("row").alias("doc_id"), F.col(f"c{text}").alias("text")), shingle=shingle, bucket=bucket)
-    parts = parts.select(F.col("doc_id").alias("r"), F.col("component_id").alias("root"))
-    inner = materialize(held.select("row", F.col(f"c{doc}").alias("id")).join(parts, F.col("row") == F.col("r")).select("row", "id", "root"), "simhash-inner")
-    best = inner.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
-    dropped = inner.select("row").join(best.select(F.col("best.row").alias("row")), "row", "left_anti")
+    with scope(docs.sparkSession):
+        parts = components(held.select(F.col("row").alias("doc_id"), F.col(f"c{text}").alias("text")), shingle=shingle, bucket=bucket)
+        parts = parts.select(F.col("doc_id").alias("r"), F.col("component_id").alias("root"))
+        ids = held.select("row", F.col(f"c{doc}").alias("id"))
+        inner = materialize(ids.join(parts, F.col("row") == F.col("r")).select("row", "id", "root"), "simhash-inner")
+        best = inner.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+        dropped = inner.select("row").join(best.select(F.col("best.row").alias("row")), "row", "left_anti")
+        dropped = materialize(dropped, "simhash-dropped", outer=True)
     return renamed(held.join(dropped, "row", "left_anti"), docs.columns)
