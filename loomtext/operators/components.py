@@ -20,7 +20,7 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of the edges (a, b) with the least node that it reaches.
 
     Each round takes the least label among neighbours and then follows labels of labels,
@@ -30,7 +30,7 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
     both = _checkpointed(both)
     now = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = now.join(near.select(F.col("a").alias("node"), "near"), "node", "left")
         step = step.select("node", "root", F.least("root", F.coalesce("near", "root")).alias("to"))
@@ -41,4 +41,3 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         now = after.select("node", "root")
         if not changed:
             return now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

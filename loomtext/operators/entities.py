@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks
+
 from .components import components
 
 _NOISE = r"[\s,.;:!?，。；：！？、()（）\[\]【】“”\"']"
@@ -143,18 +147,17 @@ def first_match(rows: DataFrame, terms: DataFrame, column: str) -> DataFrame:
     return rows.join(first, F.col(column) == F.col("_n"), "left").drop("_n")
 
 
-def first_containing(rows: DataFrame, names: DataFrame, key: str, column: str) -> DataFrame:
+def first_containing(rows: DataFrame, names: DataFrame, key: str, column: str, *, block: int = 50_000) -> DataFrame:
     """(key, column, owner): the first by ord of (name, ord) that contains the text or is contained in it.
 
-    A theta join over a side that is small by nature; its size is checked before it is sent.
+    A theta join over a side that is small by nature; it is sent in blocks of about `block`
+    names at most, and the first of each block is the most that a block hands on.
     """
-    if names.count() > 50_000:
-        raise ValueError("too many names for a containment join; block them by n-grams first")
-    met = rows.select(key, column).join(
-        F.broadcast(names.select("name", "ord")), (F.col(column) != "") & (F.contains(F.col(column), F.col("name")) | F.contains(F.col("name"), F.col(column)))
-    )
-    order = W.partitionBy(key, column).orderBy("ord")
-    return met.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(key, column, F.col("name").alias("owner"))
+    inside = (F.col(column) != "") & (F.contains(F.col(column), F.col("name")) | F.contains(F.col("name"), F.col(column)))
+    texts = rows.select(key, column)
+    parts = [texts.join(F.broadcast(part), inside) for part in in_blocks(names.select("name", "ord"), "name", block)]
+    best = [part.groupBy(key, column).agg(F.min_by("name", "ord").alias("owner"), F.min("ord").alias("ord")) for part in parts]
+    return reduce(DataFrame.union, best).groupBy(key, column).agg(F.min_by("owner", "ord").alias("owner"))
 
 
 def merge_personality(rows: DataFrame, names: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .blocks import in_blocks
 
 
 def search_text(actinfo: Column, *others: Column) -> Column:
@@ -32,10 +33,11 @@ def tokens(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def build_index(docs: DataFrame, key: str, text: str, tokenise=tokens) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, key, tf) and lengths (key, n)."""
+def build_index(docs: DataFrame, key: str, text: str, tokenise=tokens, terms: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, key, tf), of all terms or of those given, and lengths (key, n)."""
     rows = docs.select(key, tokenise(F.col(text)).alias("_t"))
-    postings = rows.select(key, F.explode("_t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    wanted = F.col("_t") if terms is None else F.filter("_t", lambda t: t.isin(*terms))
+    postings = rows.select(key, F.explode(wanted).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
     return postings, rows.select(key, F.size("_t").alias("n"))
 
 
@@ -72,13 +74,6 @@ def nearest(vectors: DataFrame, key: str, vec: str, query: Sequence[float], limi
     return scored.orderBy(F.desc("score"), F.desc(key)).limit(limit)
 
 
-def _blocks(rows: DataFrame, key: str, limit: int) -> list[DataFrame]:
-    """The rows in as many parts by key as keep each at about half the limit, or whole if they are within it."""
-    count = rows.count()
-    n = 1 if count <= limit else -(-2 * count // limit)
-    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
-
-
 def nearest_each(vectors: DataFrame, queries: DataFrame, key: str, query: str, vec: str, limit: int = 10, max_queries: int = 10_000) -> DataFrame:
     """(query, key, score, rank) of a table of queries, in blocks of about `max_queries` at most.
 
@@ -93,7 +88,7 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, key: str, query: str, v
         scored = met.select(F.col("_q").alias(query), key, F.round(V.cosine(F.col("_x"), F.col("_v")), 6).alias("score"))
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
-    return reduce(DataFrame.union, [best(part) for part in _blocks(queries, query, max_queries)])
+    return reduce(DataFrame.union, [best(part) for part in in_blocks(queries, query, max_queries)])
 
 
 def embed_cached(texts: DataFrame, cache: DataFrame, model: str, embed=V.hashed_bigrams) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +134,7 @@ def layered_search(queries: DataFrame, nodes: DataFrame, *, top: int = 10, in_sc
     def first(found: DataFrame) -> DataFrame:
         return found.withColumn("_k", F.row_number().over(layer)).where(F.col("_k") <= 3 * top)
 
-    parts = [asked.join(F.broadcast(part), (q != "") & (n != "") & score.isNotNull()).withColumn("score", score) for part in _blocks(rows, "id", max_nodes)]
+    parts = [asked.join(F.broadcast(part), (q != "") & (n != "") & score.isNotNull()).withColumn("score", score) for part in in_blocks(rows, "id", max_nodes)]
     met = first(parts[0]) if len(parts) == 1 else first(reduce(DataFrame.union, [first(part).drop("_k") for part in parts]))
     before = F.count(F.when(F.col("score") > 0.45, 1)).over(W.partitionBy("query"))
     met = met.withColumn("_b", before).where((F.col("score") > 0.45) | (F.col("_b") < top))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks
+
 
 def span(log: DataFrame, ts: str = "ts") -> DataFrame:
     """First and last time, minutes between, and records."""
@@ -54,10 +58,9 @@ def jaccard(a: DataFrame, b: DataFrame, column: str, digits: int = 3) -> DataFra
     return out.withColumn("jaccard", F.round(F.col("both") / F.greatest("either", F.lit(1)), digits))
 
 
-def hit_rate(wanted: DataFrame, registry: DataFrame) -> DataFrame:
-    """wanted (name) with hit: a canonical name or alias contains it. Matched per element."""
+def hit_rate(wanted: DataFrame, registry: DataFrame, *, block: int = 10_000) -> DataFrame:
+    """wanted (name) with hit: a canonical name or alias contains it. Matched per element, in blocks of about `block` names."""
     names = registry.select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).distinct()
-    if wanted.count() > 10_000:
-        raise ValueError("too many wanted names for a containment join")
-    hits = names.join(F.broadcast(wanted.select("name").distinct()), F.contains("n", F.col("name"))).select("name").distinct()
+    asked = in_blocks(wanted.select("name").distinct(), "name", block)
+    hits = reduce(DataFrame.union, [names.join(F.broadcast(part), F.contains("n", F.col("name"))).select("name").distinct() for part in asked])
     return wanted.join(hits.withColumn("hit", F.lit(True)), "name", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))

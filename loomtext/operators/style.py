@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: parts that the rows of a key are dealt into where keys are few
+SHARES = 1024
+
 
 def sentence_rows(docs: DataFrame, keys: Sequence[str], profile: X.Profile = X.LATIN, text: str = "text") -> DataFrame:
     """One row per sentence: keys, pos, sentence, n (characters, the mark counted)."""
@@ -118,15 +121,21 @@ def style_profile(docs: DataFrame, keys: Sequence[str], profile: X.Profile = X.L
 
 
 def rhetoric_totals(docs: DataFrame, keys: Sequence[str], patterns: dict[str, str], *, doc: str = "doc_id", examples: int = 3) -> DataFrame:
-    """Matches of each pattern per key, the mean a document, and the first documents with any."""
-    found = docs.select(*keys, doc, F.explode(X.pattern_counts(F.col("text"), patterns)).alias("p"))
+    """Matches of each pattern per key, the mean a document, and the first documents with any.
+
+    Keys are few and documents many, so the totals are partial sums, and the examples of a
+    key are ranked among the first ones of each of many shares of its documents.
+    """
+    found = docs.select(*keys, doc, F.explode(X.pattern_counts(F.col("text"), patterns)).alias("p")).select(*keys, doc, "p.name", "p.n").where("n > 0")
     sizes = docs.groupBy(*keys).agg(F.count("*").alias("docs"))
-    order = W.partitionBy(*keys, "p.name").orderBy(doc)
-    ranked = found.withColumn("nth", F.row_number().over(order))
-    agg = ranked.groupBy(*keys, F.col("p.name").alias("figure")).agg(
-        F.sum("p.n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("nth") <= examples, F.col(doc)))).alias("examples")
-    )
-    return agg.join(sizes, list(keys)).withColumn("per_doc", F.round(F.col("n") / F.col("docs"), 4)).drop("docs")
+    totals = found.groupBy(*keys, F.col("name").alias("figure")).agg(F.sum("n").alias("n"))
+    first = found
+    for by in ([F.pmod(F.xxhash64(doc), F.lit(SHARES))], []):
+        nth = F.row_number().over(W.partitionBy(*keys, "name", *by).orderBy(doc))
+        first = first.withColumn("_k", nth).where(F.col("_k") <= examples)
+    first = first.groupBy(*keys, F.col("name").alias("figure")).agg(F.sort_array(F.collect_list(doc)).alias("examples"))
+    out = totals.join(first, [*keys, "figure"]).join(sizes, list(keys))
+    return out.withColumn("per_doc", F.round(F.col("n") / F.col("docs"), 4)).drop("docs")
 
 
 def sentiment_arc(docs: DataFrame, keys: Sequence[str], positive: str, negative: str, mode: str = "char") -> DataFrame:
@@ -173,8 +182,9 @@ def budget_sample(rows: DataFrame, keys: Sequence[str], *, chars: str, order: Co
     """A stratified sample by a budget of characters; rows have the column kind.
 
     The target per key is max(least, ratio * characters), dealt to the kinds by shares.
-    Rows are taken in a reproducible order until the budget is reached, and the row that
-    reaches it is still taken. What long rows leave of their share goes to the others.
+    Rows are taken in the order of a hash of their identity, as hexadecimal digits, until the
+    budget is reached, and the row that reaches it is still taken. What long rows leave of
+    their share goes to the others. The first digits deal the rows of a key into slices.
     """
     shares = shares or {"long": 0.6, "mid": 0.25, "short": 0.15}
     sizes = rows.groupBy(*keys).agg(
@@ -190,9 +200,16 @@ def budget_sample(rows: DataFrame, keys: Sequence[str], *, chars: str, order: Co
             F.array(*[target * v + (F.lit(0.0) if k == "long" else lack * (v / rest)) for k, v in shares.items()]),
         ).alias("_budget"),
     )
-    run = W.partitionBy(*keys, "kind").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    ranked = rows.withColumn("_before", F.sum(chars).over(run) - F.col(chars))
-    return ranked.join(budgets, list(keys)).where(F.col("_before") < F.col("_budget")[F.col("kind")]).drop("_before", "_budget")
+    # keys are few and rows many: rows go into slices of the order, whose sums tell where each begins
+    rows = rows.withColumn("_o", order)
+    rows = rows.withColumn("_slice", F.substring(F.col("_o"), 1, 3))
+    by = [*keys, "kind"]
+    sums = rows.groupBy(*by, "_slice").agg(F.sum(chars).alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum")
+    starts = sums.withColumn("_start", before).drop("_sum").join(budgets, list(keys)).where(F.col("_start") < F.col("_budget")[F.col("kind")])
+    run = W.partitionBy(*by, "_slice").orderBy("_o").rowsBetween(W.unboundedPreceding, 0)
+    ranked = rows.join(starts, [*by, "_slice"]).withColumn("_before", F.col("_start") + F.sum(chars).over(run) - F.col(chars))
+    return ranked.where(F.col("_before") < F.col("_budget")[F.col("kind")]).drop("_before", "_budget", "_start", "_slice", "_o")
 
 
 def baseline(ledger: DataFrame, group: str, metric: Sequence[str] = ("metric",)) -> DataFrame:

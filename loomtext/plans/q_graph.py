@@ -39,8 +39,7 @@ def cooccur_brands(spark, d):
 
 
 def directed_cooccur(spark, d):
-    out = graphs.directed_cooccurrence(_acts(spark, d), _cast(spark, d), "scene", "who", "name")
-    return out.where("acts >= 5")
+    return graphs.directed_cooccurrence(_acts(spark, d), _cast(spark, d), "scene", "who", "name")
 
 
 def character_facts(spark, d):
@@ -99,7 +98,7 @@ def alias_components(spark, d):
 
 
 def text_fold(spark, d):
-    rows = read(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract("text", r"^(\S+ ?\S*)", 1).alias("text"))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "text")
     return folds.text_fold(rows, ["conv_id"], ["turn"], "text")
 
 
@@ -116,15 +115,15 @@ def settings_fold(spark, d):
 def kb_fold(spark, d):
     docs = read(spark, d, "conversations")
     deltas = docs.select(
-        F.pmod("conv_id", F.lit(7)).alias("book"), (F.col("conv_id") * 100 + F.col("turn")).alias("scene"), F.col("role").alias("name"), F.lit("").alias("category"),
-        F.array(F.lit("one who speaks")).alias("aliases"), F.substring("text", 1, 20).alias("description"),
+        F.col("conv_id").alias("book"), F.col("turn").alias("scene"), F.col("role").alias("name"), F.lit("").alias("category"),
+        F.array(F.lit("one who speaks")).alias("aliases"), F.col("text").alias("description"),
         *[F.lit("").alias(c) for c in ("motivation", "persona", "psychology")],
     )
     return folds.entity_fold(deltas, ["book"]).select("book", "name", "category", "first_seen", F.size("scenes").cast("long").alias("scenes"), F.md5("description").alias("description"))
 
 
 def degree_weight(spark, d):
-    edges = cooccur_brands(spark, d).where("weight >= 30")
+    edges = cooccur_brands(spark, d)
     members = read(spark, d, "part").select(F.col("p_brand").alias("name"), (F.col("p_size") % 5).alias("chapter"))
     out = graphs.weighted_nodes(graphs.nodes(members), edges)
     return out.select("name", F.size("chapters").cast("long").alias("chapters"), "degree", "weight")
@@ -137,8 +136,7 @@ def graph_truncate(spark, d):
 
 
 def timeline(spark, d):
-    rows = _acts(spark, d).where("value > 95")
-    out = graphs.timeline(rows, "chapter", "content", "event_id")
+    out = graphs.timeline(_acts(spark, d), "chapter", "content", "event_id")
     return out.select(F.col("chapter").cast("long").alias("chapter"), F.array_join("events", "|").alias("events"))
 
 
@@ -148,7 +146,7 @@ def new_per_bucket(spark, d):
 
 
 def wide_clusters(spark, d):
-    rows = _acts(spark, d).where("value > 90").select("who", "chapter")
+    rows = _acts(spark, d).select("who", "chapter")
     out = graphs.wide_clusters(rows, "who", "chapter", 20)
     return out.select("who", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "weight")
 
@@ -185,7 +183,7 @@ def neighbors_2hop(spark, d):
 
 def gap_detection(spark, d):
     nations = read(spark, d, "nation")
-    used = read(spark, d, "customer").where("c_custkey % 11 = 0 AND c_custkey < 120").select(F.col("c_nationkey").alias("n_nationkey"))
+    used = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.avg("c_acctbal").alias("a")).where("a > 4500")
     return lexicon.gaps(_nodes(spark, d), nations.join(used, "n_nationkey", "left_semi").select(F.col("n_name").alias("id")))
 
 
@@ -202,7 +200,7 @@ def genre_vote(spark, d):
 
 def generic_filter(spark, d):
     parts = read(spark, d, "part").select("p_partkey", F.substring_index("p_name", " ", 1).alias("name"))
-    words = parts.where("p_partkey % 97 = 0").select(F.col("name").alias("word"))
+    words = parts.groupBy(F.col("name").alias("word")).agg(F.count("*").alias("n")).where("n >= 30").select("word")
     return lexicon.without_generic(parts, words, "name", ["[a-f]", ".*9$"], ["b"])
 
 
@@ -263,7 +261,7 @@ ORACLES = {
     "q_cooccur_pairs": f"WITH {_ACTS}, {_CAST}, {_PAIRS.format(n=3)} SELECT * FROM p",
     "q_cooccur_brands": f"WITH {_BRANDS}, {_PAIRS.format(n=2)} SELECT * FROM p",
     "q_directed_cooccur": f"""WITH {_ACTS}, {_CAST}
-SELECT who AS actor, name AS other, count(*) AS acts FROM a JOIN m USING (scene) WHERE who <> name GROUP BY ALL HAVING count(*) >= 5""",
+SELECT who AS actor, name AS other, count(*) AS acts FROM a JOIN m USING (scene) WHERE who <> name GROUP BY ALL""",
     "q_character_facts": f"""WITH {_ACTS}, {_CAST},
 t AS (SELECT who, who AS name, count(DISTINCT (chapter, scene)) AS n_appearances FROM a GROUP BY who),
 r AS (SELECT *, channel = 'click' AS said, row_number() OVER (PARTITION BY who, channel = 'click' ORDER BY chapter DESC, scene DESC, event_id DESC) AS k FROM a),
@@ -285,14 +283,14 @@ WITH RECURSIVE d AS (SELECT doc_id, md5(text) AS h, md5(string_split(text, chr(1
 e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM d x JOIN d y ON x.h = y.h UNION SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.f = y.f),
 r AS (SELECT a AS doc_id, b AS reach FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a)
 SELECT doc_id, min(reach) AS component FROM r GROUP BY doc_id""",
-    "q_text_fold": f"WITH t AS (SELECT conv_id, turn, regexp_extract(text, '^(\\S+ ?\\S*)', 1) AS x FROM conversations) SELECT conv_id, {_FOLD.format(x='x', o='turn')} AS text FROM t GROUP BY conv_id",
+    "q_text_fold": f"WITH t AS (SELECT conv_id, turn, text AS x FROM conversations) SELECT conv_id, {_FOLD.format(x='x', o='turn')} AS text FROM t GROUP BY conv_id",
     "q_settings_fold": f"""
 WITH t AS (SELECT source AS name, doc_id, lang, substr(text, 1, 12) AS x FROM documents),
 l AS (SELECT name, lang, min(doc_id) AS f FROM t GROUP BY ALL),
 k AS (SELECT name, string_agg(lang, ',' ORDER BY f) AS aliases FROM l GROUP BY name)
 SELECT name, arg_min(lang, doc_id) AS category, md5({_FOLD.format(x='x', o='doc_id')}) AS definition, any_value(aliases) AS aliases, count(*) AS scenes,
   min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM t JOIN k USING (name) GROUP BY name""",
-    "q_degree_weight": f"""WITH {_BRANDS}, {_PAIRS.format(n=30)},
+    "q_degree_weight": f"""WITH {_BRANDS}, {_PAIRS.format(n=2)},
 g AS (SELECT name, count(*) AS degree FROM (SELECT a AS name FROM p UNION ALL SELECT b FROM p) GROUP BY name),
 c AS (SELECT p_brand AS name, count(DISTINCT p_size % 5) AS chapters FROM part GROUP BY p_brand)
 SELECT name, chapters, coalesce(degree, 0) AS degree, chapters + coalesce(degree, 0) AS weight FROM c LEFT JOIN g USING (name)""",
@@ -301,9 +299,9 @@ g AS (SELECT name, count(*) AS degree FROM (SELECT a AS name FROM p UNION ALL SE
 c AS (SELECT who AS name, count(DISTINCT chapter) AS n FROM a GROUP BY who),
 k AS (SELECT name FROM c LEFT JOIN g USING (name) ORDER BY n + coalesce(degree, 0) DESC, name LIMIT 40)
 SELECT a, b, weight FROM p WHERE a IN (FROM k) AND b IN (FROM k)""",
-    "q_timeline": f"WITH {_ACTS} SELECT chapter, string_agg(content, '|' ORDER BY event_id) AS events FROM a WHERE value > 95 GROUP BY chapter",
+    "q_timeline": f"WITH {_ACTS} SELECT chapter, string_agg(content, '|' ORDER BY event_id) AS events FROM a GROUP BY chapter",
     "q_new_per_bucket": f"WITH {_ACTS}, f AS (SELECT who, min(chapter) AS chapter FROM a GROUP BY who) SELECT chapter, count(*) AS new FROM f GROUP BY chapter",
-    "q_wide_clusters": f"WITH {_ACTS} SELECT who, min(chapter) AS first, max(chapter) AS last, count(*) AS weight FROM a WHERE value > 90 GROUP BY who HAVING max(chapter) - min(chapter) >= 20",
+    "q_wide_clusters": f"WITH {_ACTS} SELECT who, min(chapter) AS first, max(chapter) AS last, count(*) AS weight FROM a GROUP BY who HAVING max(chapter) - min(chapter) >= 20",
     "q_activity_rule": """
 SELECT user_id, 60 - max(day(ts)) <= 30 OR count(*) FILTER (event_type = 'purchase') >= 15 OR round(sum(value) / 10000, 6) >= 0.9 OR count(*) FILTER (value > 99) >= 3 AS active
 FROM events GROUP BY user_id""",
@@ -316,7 +314,7 @@ h2 AS (SELECT start, t AS id, 2 AS hop, min(type) AS via FROM h1 JOIN u ON f = i
        AND (start, t) NOT IN (SELECT (start, id) FROM h1) GROUP BY start, t)
 SELECT start, id, CAST(hop AS BIGINT) AS hop, via FROM h1 UNION ALL SELECT start, id, CAST(hop AS BIGINT), via FROM h2""",
     "q_gap_detection": f"""WITH {_NODES},
-used AS (SELECT DISTINCT n_name AS id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 11 = 0 AND c_custkey < 120),
+used AS (SELECT n_name AS id FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name HAVING avg(c_acctbal) > 4500),
 s AS (SELECT domain, slot, min(rank) AS lo, max(rank) AS hi FROM n WHERE id IN (FROM used) GROUP BY ALL HAVING count(*) >= 2)
 SELECT domain, slot, id, rank FROM n JOIN s USING (domain, slot) WHERE rank > lo AND rank < hi AND id NOT IN (FROM used)""",
     "q_term_tag": f"WITH {_NODES} SELECT domain, rank, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN n ON n.id = n_name GROUP BY ALL",
@@ -324,7 +322,7 @@ SELECT domain, slot, id, rank FROM n JOIN s USING (domain, slot) WHERE rank > lo
     "q_generic_filter": """
 WITH p AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS name FROM part)
 SELECT p_partkey, name FROM p WHERE trim(name) <> '' AND (starts_with(name, 'b')
-  OR (NOT regexp_matches(name, '^(?:[a-f])') AND NOT regexp_matches(name, '^(?:.*9$)') AND name NOT IN (SELECT name FROM p WHERE p_partkey % 97 = 0)))""",
+  OR (NOT regexp_matches(name, '^(?:[a-f])') AND NOT regexp_matches(name, '^(?:.*9$)') AND name NOT IN (SELECT name FROM p GROUP BY name HAVING count(*) >= 30)))""",
     "q_router_trigger": """
 WITH c AS (SELECT user_id, event_id, sum(CAST(event_type = 'purchase' AS INT)) OVER w AS h, sum(CAST(event_type = 'view' AS INT)) OVER w AS u,
   sum(CAST(event_type = 'signup' AS INT)) OVER w AS f, sum(CAST(value > 98 AS INT)) OVER w AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),

@@ -27,7 +27,7 @@ def knn_each(spark, d):
 
 def bm25(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    postings, lengths = retrieval.build_index(docs, "doc_id", "text")
+    postings, lengths = retrieval.build_index(docs, "doc_id", "text", terms=TERMS)
     return retrieval.bm25(postings, lengths, "doc_id", TERMS, limit=20)
 
 
@@ -38,7 +38,7 @@ def like_fallback(spark, d):
 def layered_search(spark, d):
     parts = read(spark, d, "part")
     nodes = parts.groupBy(F.col("p_name").alias("id")).agg(F.min("p_partkey").alias("ord"))
-    queries = parts.where("p_partkey % 200 = 1").select(F.col("p_name").alias("query"))
+    queries = parts.where("p_partkey % 20 = 0").select(F.col("p_name").alias("query"))
     out = retrieval.layered_search(queries, nodes, top=5)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
@@ -46,9 +46,10 @@ def layered_search(spark, d):
 def search_external(spark, d):
     parts = read(spark, d, "part")
     nodes = parts.groupBy(F.col("p_name").alias("id")).agg(F.min("p_partkey").alias("ord"))
-    queries = parts.where("p_partkey % 100 = 1").select(F.col("p_name").alias("query")).distinct()
+    queries = parts.where("p_partkey % 20 = 0").select(F.col("p_name").alias("query")).distinct()
     hits = retrieval.layered_search(queries, nodes, top=5)
-    local = parts.where("p_partkey % 300 = 1").groupBy(F.col("p_name").alias("name")).agg(F.min("p_type").alias("definition"))
+    local = parts.groupBy(F.col("p_brand").alias("name")).agg(F.min("p_type").alias("definition"))
+    local = local.unionByName(parts.where("p_size = 1").groupBy(F.col("p_name").alias("name")).agg(F.min("p_type").alias("definition")))
     return router.search_external(queries, local, hits).withColumn("layer", F.col("layer").cast("long"))
 
 
@@ -58,9 +59,10 @@ def context_for_term(spark, d):
 
 
 def rag_context(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "n_chars", F.substring("text", 1, 30).alias("summary"))
-    hits = docs.where("doc_id < 6").select("doc_id", F.lit(1.0).alias("score"))
-    return retrieval.rag_context(hits, docs, "doc_id", "summary", "n_chars")
+    docs = read(spark, d, "documents").select("doc_id", "n_chars", "text")
+    postings, lengths = retrieval.build_index(docs, "doc_id", "text", terms=TERMS)
+    hits = retrieval.bm25(postings, lengths, "doc_id", TERMS, limit=6)
+    return retrieval.rag_context(hits, docs, "doc_id", "text", "n_chars")
 
 
 def health_h1(spark, d):
@@ -89,7 +91,7 @@ def token_ledger(spark, d):
 
 def registry_stats(spark, d):
     docs = read(spark, d, "documents")
-    rows = docs.select(F.col("lang").alias("chapter_no"), F.col("source").alias("canonical"), F.slice(F.split("text", " "), 1, 3).alias("aliases"))
+    rows = docs.select(F.col("lang").alias("chapter_no"), F.col("source").alias("canonical"), F.split("text", " ").alias("aliases"))
     return runlog.registry_stats(rows)
 
 
@@ -114,9 +116,12 @@ def json_props(spark, d):
 
 
 def json_salvage(spark, d):
-    raw = F.concat(F.lit('```json\n[{"name": "'), F.col("event_type"), F.lit('"}, {"name": "x"}, {"na'))
-    items = J.as_array(raw)
-    e = read(spark, d, "events").where("event_id < 200").select("event_id", items.alias("items"))
+    """Arrays of one to four objects, cut off at a place that runs over all of the answer."""
+    e = read(spark, d, "events")
+    item = lambda i: F.concat(F.lit('{"name": "'), F.col("event_type"), F.lit(f'{i}", "at": {i}}}'))
+    whole = F.concat(F.lit("["), F.array_join(F.slice(F.array(*map(item, range(4))), 1, (F.pmod("event_id", F.lit(4)) + 1).cast("int")), ", "), F.lit("]"))
+    raw = F.concat(F.lit("```json\n"), F.expr("left(whole, 1 + pmod(event_id * 7, length(whole)))"))
+    e = e.withColumn("whole", whole).select("event_id", J.as_array(raw).alias("items"))
     return e.select("event_id", F.size("items").cast("long").alias("n"), J.text_of(F.get("items", F.lit(0)), ["title", "name"]).alias("first"))
 
 
@@ -154,7 +159,7 @@ _COS = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBL
 _SIM = f"{_COS.format(a='v.embedding', b='q.embedding')} / (sqrt({_COS.format(a='v.embedding', b='v.embedding')}) * sqrt({_COS.format(a='q.embedding', b='q.embedding')}))"
 _SEARCH = """
 n AS (SELECT p_name AS id, min(p_partkey) AS ord FROM part GROUP BY p_name),
-q AS (SELECT DISTINCT p_name AS query FROM part WHERE p_partkey % {m} = 1),
+q AS (SELECT DISTINCT p_name AS query FROM part WHERE p_partkey % 20 = 0),
 s AS (SELECT query, id, ord, CASE WHEN query = id THEN 1.0 WHEN starts_with(id, query) OR starts_with(query, id) THEN 0.8
   WHEN contains(id, query) OR contains(query, id) THEN 0.6 WHEN len(query) >= 2 AND levenshtein(query, id) <= 1 THEN 0.45 END AS score FROM q, n),
 l AS (SELECT *, row_number() OVER (PARTITION BY query, score ORDER BY ord) AS k FROM s WHERE score IS NOT NULL),
@@ -201,13 +206,12 @@ f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
 SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / av))), 6) AS score
 FROM p JOIN f USING (term) JOIN n USING (doc_id), z GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""",
     "q_like_fallback": "SELECT doc_id FROM documents WHERE contains(text, 'tion the') ORDER BY doc_id LIMIT 10",
-    "q_layered_search": f"WITH {_SEARCH.format(m=200)} SELECT query, id, score, rank FROM h",
-    "q_search_external": f"""WITH {_SEARCH.format(m=100)},
+    "q_layered_search": f"WITH {_SEARCH} SELECT query, id, score, rank FROM h",
+    "q_search_external": f"""WITH {_SEARCH},
 b AS (SELECT query, string_agg(id, ',' ORDER BY rank) AS l2 FROM h GROUP BY query),
-k AS (SELECT p_name AS query, min(p_type) AS l1 FROM part WHERE p_partkey % 300 = 1 GROUP BY p_name)
+k AS (SELECT p_brand AS query, min(p_type) AS l1 FROM part GROUP BY p_brand UNION ALL SELECT p_name, min(p_type) FROM part WHERE p_size = 1 GROUP BY p_name)
 SELECT query, CAST(CASE WHEN l1 IS NOT NULL THEN 1 WHEN l2 IS NOT NULL THEN 2 ELSE 0 END AS BIGINT) AS layer, coalesce(l1, l2, '') AS answer FROM q LEFT JOIN b USING (query) LEFT JOIN k USING (query)""",
     "q_context_for_term": "SELECT doc_id, CAST(1 AS BIGINT) AS blobs FROM documents WHERE contains(text, 'thing') ORDER BY doc_id LIMIT 6",
-    "q_rag_context": "SELECT string_agg('[第' || n_chars || '章·scene' || doc_id || '] ' || substr(text, 1, 30), chr(10) ORDER BY doc_id) AS context FROM documents WHERE doc_id < 6",
     "q_health_h1": "SELECT event_type, count(*) AS n, count(*) FILTER (value < 10) AS bad, round(count(*) FILTER (value < 10) / count(*), 4) AS rate, count(*) FILTER (value < 10) / count(*) < 0.1 AS ok FROM events GROUP BY event_type",
     "q_log_span": "SELECT count(*) AS n, round((epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts)))) / 60, 2) AS minutes FROM events",
     "q_last_progress": "SELECT event_type, arg_max(user_id, (ts, event_id)) AS user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY event_type",
@@ -215,7 +219,7 @@ SELECT query, CAST(CASE WHEN l1 IS NOT NULL THEN 1 WHEN l2 IS NOT NULL THEN 2 EL
   count(*) AS n, arg_max(CAST(round(value, 2) AS VARCHAR), event_id) AS last FROM events GROUP BY user_id""",
     "q_token_ledger": """SELECT CASE WHEN grouping(l_returnflag) = 1 THEN 'all' ELSE l_returnflag END AS model, CAST(sum(l_linenumber) AS BIGINT) AS prompt,
   CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS completion, count(*) AS calls FROM lineitem GROUP BY ROLLUP (l_returnflag)""",
-    "q_registry_stats": """WITH a AS (SELECT unnest(string_split(text, ' ')[1:3]) AS x FROM documents)
+    "q_registry_stats": """WITH a AS (SELECT unnest(string_split(text, ' ')) AS x FROM documents)
 SELECT count(*) AS total, count(DISTINCT source) AS canonical, (SELECT count(DISTINCT x) FROM a) AS aliases, round(count(*) / count(DISTINCT lang), 2) AS per_chapter FROM documents""",
     "q_jaccard": """WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en'),
 b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'de'),
@@ -224,7 +228,10 @@ SELECT "both", either, round("both" / either, 3) AS jaccard FROM c, e""",
     "q_hit_rate": """WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS name FROM part), n AS (SELECT p_brand AS x FROM part UNION SELECT p_type FROM part UNION SELECT p_name FROM part)
 SELECT name, EXISTS (SELECT 1 FROM n WHERE contains(x, name)) AS hit FROM w""",
     "q_json_props": """SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(json_extract(props, '$.k')) AS n FROM events GROUP BY event_type""",
-    "q_json_salvage": "SELECT event_id, CAST(2 AS BIGINT) AS n, event_type AS first FROM events WHERE event_id < 200",
+    "q_json_salvage": """WITH e AS (SELECT event_id, event_type, 1 + event_id % 4 AS k, 22 + len(event_type) AS size FROM events),
+l AS (SELECT *, 1 + (event_id * 7) % (2 + k * size + (k - 1) * 2) AS cut FROM e)
+SELECT event_id, CAST(greatest(0, least(k, (cut - 1 + 2) // (size + 2))) AS BIGINT) AS n,
+  CASE WHEN (cut - 1 + 2) // (size + 2) >= 1 THEN event_type || '0' END AS first FROM l""",
     "q_who_clean": """WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL)
 SELECT conv_id, string_agg(role || '=' || CASE WHEN t = 0 THEN '主事' ELSE '参与' END, ',' ORDER BY t) AS who, arg_min(role, t) AS pov FROM f GROUP BY conv_id""",
     "q_list_clean": """WITH i AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, unnest(range(0, len(string_split(text, ' ')))) AS p FROM documents),
@@ -238,3 +245,7 @@ SELECT doc_id, coalesce(items, '') AS items FROM documents LEFT JOIN o USING (do
 r AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
 SELECT user_id, CAST(epoch(date_trunc('second', min(ts))) AS BIGINT) AS started, count(*) AS events FROM r GROUP BY user_id, k""",
 }
+
+ORACLES["q_rag_context"] = f"""WITH hits AS ({ORACLES["q_bm25"]})
+SELECT string_agg('[第' || n_chars || '章·scene' || doc_id || '] ' || text, chr(10) ORDER BY score DESC, doc_id) AS context
+FROM (SELECT * FROM hits ORDER BY score DESC, doc_id LIMIT 6) JOIN documents USING (doc_id)"""

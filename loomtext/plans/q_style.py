@@ -69,7 +69,7 @@ def ngram_freq(spark, d):
 
 
 def gram_words(spark, d):
-    return S.gram_words(documents(spark, d).where("source IN ('src1', 'src2')"), ["lang"], (4, 3), 20)
+    return S.gram_words(documents(spark, d), ["lang"], (4, 3), 20)
 
 
 def budget_sample(spark, d):
@@ -201,7 +201,7 @@ WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w F
 g AS (SELECT lang, substr(w, i, 4) AS gram FROM (SELECT lang, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4))
 SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 50""",
     "q_gram_words": r"""
-WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents WHERE source IN ('src1', 'src2')),
+WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents),
 g4 AS (SELECT lang, substr(w, i, 4) AS gram, count(*) AS n FROM (SELECT lang, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4) GROUP BY ALL HAVING count(*) >= 20),
 g3 AS (SELECT lang, substr(w, i, 3) AS gram, count(*) AS n FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3) GROUP BY ALL HAVING count(*) >= 20),
 p AS (SELECT lang, substr(gram, 1, 3) AS gram FROM g4 UNION SELECT lang, substr(gram, 2, 3) FROM g4)
