@@ -19,11 +19,20 @@ class Thresholds:
     memes: int = 2
 
 
-def looks_like_meme(name: Column, patterns: Sequence[str] = (r"[a-z]{2,}\d+", r"(.)\1{2,}", r"\d{3,}", r"[a-z]+$")) -> Column:
-    """One of the anchored patterns matches."""
+#: The forms of names that count as slang, each over a whole name.
+MEMES = (
+    r"[A-Za-z]{2,8}",
+    r".*(梗|玩梗|名场面|名台词|老梗|烂梗)",
+    r"(退婚|废柴|扮猪|打脸|迪化|狗粮|发糖|虐心|毒点|爽点|金手指)",
+    r".*(套路|操作|骚操作|神展开|反套路)",
+)
+
+
+def looks_like_meme(name: Column, patterns: Sequence[str] = MEMES) -> Column:
+    """One of the patterns matches the whole name."""
     out = F.lit(False)
     for p in patterns:
-        out = out | F.lower(name).rlike(f"^(?:{p})")
+        out = out | name.rlike(f"^(?:{p})$")
     return out
 
 

@@ -17,3 +17,20 @@ def test_blocks_of_queries_and_nodes_equal_one_block(spark):
     want = sorted(retrieval.layered_search(asked, nodes, top=2).collect())
     assert want
     assert sorted(retrieval.layered_search(asked, nodes, top=2, max_nodes=8).collect()) == want
+
+
+def test_column_names_and_upsert_after_a_broken_run(spark, tmp_path):
+    import os
+
+    from loomtext.sources import sinks
+
+    assert [sinks.column_name(n) for n in (1, 26, 27, 52, 53, 702, 703, 18278, 18279)] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ", "AAAA"]
+    path = f"{tmp_path}/t"
+    put = lambda *rows: sinks.upsert(spark, spark.createDataFrame(rows, "k int, v int, x string"), path, ["k"], "v")
+    read = lambda: sorted((r.k, r.x) for r in spark.read.parquet(path).collect())
+    put((1, 1, "a"), (2, 1, "b"))
+    put((2, 2, "c"))
+    assert read() == [(1, "a"), (2, "c")] and os.listdir(tmp_path) == ["t"]
+    os.rename(path, f"{path}.aside")  # a run that ended before the new table was in place
+    put((3, 3, "d"))
+    assert read() == [(1, "a"), (2, "c"), (3, "d")] and os.listdir(tmp_path) == ["t"]

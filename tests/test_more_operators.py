@@ -96,8 +96,8 @@ def test_settings_folds(spark):
 
 
 def test_router_helpers(spark):
-    rows = table(spark, "n string", ("yyds",), ("ab12",), ("哈哈哈",), ("666",), ("Plain Name",), ("红月",))
-    assert {r.n for r in rows.where(router.looks_like_meme(F.col("n"))).collect()} == {"yyds", "ab12", "哈哈哈", "666"}
+    rows = table(spark, "n string", ("yyds",), ("NTR",), ("ab12",), ("烂梗",), ("打脸",), ("新套路",), ("套路书",), ("Plain Name",), ("longerthan8",), ("红月",))
+    assert {r.n for r in rows.where(router.looks_like_meme(F.col("n"))).collect()} == {"yyds", "NTR", "烂梗", "打脸", "新套路"}
     nodes = table(spark, "id string, domain string", ("a", "x"), ("b", "y"))
     count = lambda on, domains: nodes.where(lexicon.scoped(on, domains, F.col("domain"))).count()
     assert [count(False, None), count(True, None), count(True, ["x"])] == [0, 2, 1]
