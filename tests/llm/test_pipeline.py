@@ -11,8 +11,8 @@ from .helpers import table
 from .test_classifiers import labels_table
 from .test_decontaminate import brute as brute_hits
 from .test_exact_dedup import lowered
+from .test_near_copies import brute as brute_near
 from .test_packing import check
-from .test_simhash import brute_components, fingerprint
 
 
 @pytest.fixture(scope="module")
@@ -60,13 +60,9 @@ def test_run_equals_brute_force(spark, folder):
     for i, t in left:
         last[lowered(t)] = max(i, last.get(lowered(t), -1))
     left = [(i, t) for i, t in left if last[lowered(t)] == i]
-    prints = {i: fingerprint(t) for i, t in left}
-    roots = brute_components(prints.values())
-    least = {}
-    for i in sorted(prints):
-        least.setdefault(roots[prints[i]], i)
-    left = [(i, t) for i, t in left if least[roots[prints[i]]] == i]
-    hits = brute_hits(left, items)
+    stay = brute_near(left)
+    left = [row for place, row in enumerate(left) if place in stay]
+    hits = {int(i): (n, hit) for i, n, hit, _ in brute_hits(left, items)}
     left = [(i, t) for i, t in left if not (hits[i][1] and 20 * hits[i][1] >= hits[i][0])]
     assert not {i for i, _ in left} & set(range(500, 505)) and 1 < len({i for i, _ in left})
     pieces = [r.asDict() for r in corpus_pipeline.run(spark, path).collect()]
