@@ -22,7 +22,16 @@ written table, and postings carry that number, so that hits go to the row that t
 in, whatever doc_ids repeat or are null. Only the matched diagonals are joined back to the
 texts, with an equi-join on the number.
 
-proximity_match() uses the same postings for terms within a distance, in any order.
+proximity() finds near occurrences by the same index: the two rarest words of a window
+that any document has stand in the window's order in a document, their diagonals at most
+`SLACK` words apart, and the document's words around them, as many as the window's and
+`SLACK` more on either side, hold at least `SHARE` of the window's distinct words. So it
+finds a passage with words put in, left out or changed, which exact windows miss; an exact
+occurrence is a near one. The two lists meet by blocks of diagonals, so each posting meets
+only those that may be near. A window with fewer than two words that documents have has no
+near occurrence.
+
+proximity_match() uses the same postings for two given words within a distance, in any order.
 
 Defined results: words are runs of ASCII digits and letters and of all non-ASCII
 characters, A-Z lower-cased; null has none. An item of fewer words than the window,
@@ -40,6 +49,8 @@ from pyspark.sql import functions as F
 from .common import ascii_words, materialize, numbered, renamed, scope
 
 WINDOW = 13
+SLACK = 6
+SHARE = 0.8
 BROADCAST_TERMS = 200_000
 _LENGTH = 0  # the term id of length postings
 
@@ -74,9 +85,10 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, *, max_broadcas
     return materialize(posts.select("term", "row", "pos").sortWithinPartitions("term"), "postings")
 
 
-def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
+def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW, *, whole: bool = True) -> DataFrame:
     """(item, window, term, offset): for each window its two rarest positions.
 
+    whole drops windows with a word that no document has; else such words are passed over.
     Document counts meet each item position once; the windows are slices of the item.
     The counts have as many rows as the items have distinct words, so they are broadcast
     while the items are small.
@@ -88,8 +100,9 @@ def anchors(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFra
     rows = words.join(counts, "term", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("offset", "term", "df"))).alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     slices = rows.select("item", F.explode(starts).alias("window"), "w").select("item", "window", F.slice("w", F.col("window") + 1, window).alias("s"))
-    met = slices.where(~F.exists("s", lambda x: x["df"].isNull()))
-    rarest = F.slice(F.array_sort(F.transform("s", lambda x: F.struct(x["df"], x["offset"], x["term"]))), 1, 2)
+    met = slices.where(~F.exists("s", lambda x: x["df"].isNull())) if whole else slices
+    had = F.filter("s", lambda x: x["df"].isNotNull())
+    rarest = F.slice(F.array_sort(F.transform(had, lambda x: F.struct(x["df"], x["offset"], x["term"]))), 1, 2)
     return met.select("item", "window", F.explode(rarest).alias("r")).select("item", "window", "r.term", "r.offset")
 
 
@@ -186,6 +199,57 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> Da
     return renamed(held.join(bad, "row", "left_anti"), docs.columns)
 
 
+def near_places(items: DataFrame, index: DataFrame, *, window: int = WINDOW, slack: int = SLACK) -> DataFrame:
+    """(row, item, window, size, start): where the first anchor puts a window, with the second one near enough.
+
+    start is the place of the window's first word, which may lie before the text; size is
+    the number of the window's words.
+    """
+    two = anchors(items, index, window, whole=False).groupBy("item", "window").agg(F.array_sort(F.collect_list(F.struct("offset", "term"))).alias("r"))
+    size = F.least(F.size("words"), F.lit(window)).alias("size")
+    two = materialize(two.where("size(r) = 2").join(items.select("item", size), "item"), "near-anchors")
+    few = two.count() <= BROADCAST_TERMS
+
+    def placed(k: int, start: str, pos: str) -> DataFrame:
+        asked = two.select("item", "window", "size", F.col("r")[k]["term"].alias("term"), (F.col("r")[k]["offset"] - F.col("window")).alias("by"))
+        met = index.join(F.broadcast(asked) if few else asked, "term")
+        return met.select("row", "item", "window", "size", F.col("pos").alias(pos), (F.col("pos") - F.col("by")).alias(start))
+
+    block = lambda start: F.floor(F.col(start) / F.lit(slack + 1))
+    first = placed(0, "start", "a").withColumn("k", block("start"))
+    second = placed(1, "other", "b").withColumn("k", block("other"))
+    second = second.select("row", "item", "window", "other", "b", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
+    near = first.join(second, ["row", "item", "window", "k"]).where((F.abs(F.col("start") - F.col("other")) <= slack) & (F.col("a") < F.col("b")))
+    return near.select("row", "item", "window", "size", "start").distinct()
+
+
+def proximity(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, slack: int = SLACK, share: float = SHARE) -> DataFrame:
+    """One row per document and item that it nearly holds: doc_id, item_id, n_places, share.
+
+    n_places counts the window's near occurrences by their first word; share is the largest
+    part of a window's distinct words that one of them has. A row that repeats a doc_id has
+    rows of its own.
+    """
+    held = numbered(docs.select("doc_id", "text"), "proximity-rows")
+    with scope(docs.sparkSession):
+        words = materialize(item_words(items), "items")
+        texts = held.select("row", F.col("c1").alias("text"))
+        found = near_places(words, build_index(texts, vocabulary(words)), window=window, slack=slack)
+        per_doc = found.groupBy("row").agg(F.collect_list(F.struct("item", "window", "size", "start")).alias("found"))
+
+        def around(f: Column) -> Column:  # only these words of the text travel on
+            at = F.greatest(f["start"] - slack, F.lit(0))
+            return F.struct(f["item"].alias("item"), f["window"].alias("window"), f["size"].alias("size"), F.slice("has", at + 1, f["start"] + f["size"] + slack - at).alias("has"))
+
+        split = texts.join(per_doc, "row").select("row", ascii_words(F.col("text")).alias("has"), "found")
+        placed = split.select("row", F.explode(F.transform("found", around)).alias("f")).select("row", "f.*")
+        wanted = F.array_distinct(F.slice("words", F.col("window") + 1, F.col("size")))
+        shares = placed.join(words, "item").select("row", "item_id", (F.size(F.array_intersect(wanted, "has")) / F.size(wanted)).alias("share"))
+        best = shares.where(F.col("share") >= share).groupBy("row", "item_id").agg(F.count("*").alias("n_places"), F.max("share").alias("share"))
+        best = materialize(best, "proximity-found", outer=True)
+    return held.select("row", F.col("c0").alias("doc_id")).join(best, "row").drop("row")
+
+
 def proximity_match(index: DataFrame, first: str, second: str, distance: int) -> DataFrame:
     """(row, a, b): positions of two words at most `distance` apart, in any order.
 

@@ -98,6 +98,65 @@ def test_proximity(spark):
         assert got == want
 
 
+def near_brute(docs, items, window, slack, share):
+    texts, out = [words(t) for _, t in docs], []
+    counts = {}
+    for w in texts:
+        for x in w:
+            counts[x] = counts.get(x, 0) + 1
+    for (doc_id, _), w in zip(docs, texts):
+        for item_id, item in items:
+            v, shares = words(item), []
+            n = min(len(v), window)
+            for s in range(len(v) - n + 1 if v else 0):
+                rare = sorted((counts[v[o]], o) for o in range(s, s + n) if v[o] in counts)[:2]
+                if len(rare) < 2:
+                    continue
+                o, q = sorted(o for _, o in rare)
+                # the lists stand for every place of each, counted by the first
+                starts = {a - o + s for a, x in enumerate(w) if x == v[o] for b in range(a + 1, len(w)) if w[b] == v[q] and abs((a - o) - (b - q)) <= slack}
+                for start in starts:
+                    around = set(w[max(0, start - slack) : start + n + slack])
+                    part = len(around & set(v[s : s + n])) / len(set(v[s : s + n]))
+                    shares += [part] if part >= share else []
+            if shares:
+                out.append((str(doc_id), str(item_id), len(shares), max(shares)))
+    return sorted(out)
+
+
+def test_near_occurrences_equal_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["the", "of", "and", "é", "rare1", "rare2", "x", *(f"v{i}" for i in range(40))]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(some(rng.choice([1, 2, 9, 13, 20])))) for i in range(12)]
+    items += [(None, "no document has the words of the rare1 item"), (None, " "), (200, None), (201, "x x x x")]
+    docs = AWKWARD + [(1003, "same id, other text"), (1003, items[3][1]), (1004, "x X x x, x")]
+    for i in range(60):
+        mid = rng.choice(items[:12])[1].split()
+        for _ in range(rng.randint(0, 3)):  # words put in and changed, so that few exact windows survive
+            at = rng.randint(0, len(mid))
+            mid[at : at + rng.randint(0, 1)] = some(1)
+        docs.append((2000 + i, " ".join(some(rng.randint(0, 30)) + mid + some(rng.randint(0, 30)))))
+    rows = spark.createDataFrame(items, "item_id long, text string")
+    for window, slack, share in [(13, 6, 0.8), (5, 2, 0.6)]:
+        got = decontaminate.proximity(table(spark, docs).repartition(3), rows, window=window, slack=slack, share=share)
+        have = sorted((str(r.doc_id), str(r.item_id), r.n_places, r.share) for r in got.collect())
+        assert have == near_brute(docs, items, window, slack, share)
+        assert len(have) > 30
+        assert "Python" not in got._jdf.queryExecution().toString()
+    assert decontaminate.proximity(table(spark, []), rows).count() == 0
+    assert decontaminate.proximity(table(spark, docs), rows.limit(0)).count() == 0
+
+
+def test_near_occurrence_where_no_window_survives(spark):
+    passage = [f"p{i}" for i in range(26)]
+    broken = " ".join(w + " put in" * (i % 9 == 8) for i, w in enumerate(passage))
+    docs, items = [(1, f"a b {broken} c"), (2, "p3 p4 and p9 alone"), (3, " ".join(reversed(passage)))], [(7, " ".join(passage))]
+    assert {(r[0], r[2]) for r in run(spark, docs, items)} == {("1", 0), ("2", 0), ("3", 0)}
+    near = decontaminate.proximity(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.share) for r in near] == [(1, 7, 1.0)]
+
+
 def test_sql_gives_the_same_rows_without_python_workers(spark, tmp_path):
     passage = " ".join(f"P{i}" for i in range(40))
     rows = [r for r in AWKWARD if r[0] not in (None, 6, 7, 13)] + [(20 + i, f"own words {i} " * i + passage[3 * i :]) for i in range(20)]
