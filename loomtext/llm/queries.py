@@ -112,6 +112,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near occurrences that the operator of op8_decontaminate finds beside exact windows."""
+    from . import decontaminate
+
+    return decontaminate.proximity(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import license_scan
 
@@ -266,6 +273,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
+    "benchmark_proximity": benchmark_proximity,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import decontaminate
 
-from .helpers import AWKWARD, query, same_as_sql, table
+from .helpers import AWKWARD, query, same_as_sql, table, write_tables
 
 
 def words(text):
@@ -148,12 +148,13 @@ def test_near_occurrences_equal_brute_force(spark):
     assert decontaminate.proximity(table(spark, docs), rows.limit(0)).count() == 0
 
 
-def test_near_occurrence_where_no_window_survives(spark):
+def test_near_occurrence_where_no_window_survives(spark, tmp_path):
     passage = [f"p{i}" for i in range(26)]
     broken = " ".join(w + " put in" * (i % 9 == 8) for i, w in enumerate(passage))
     docs, items = [(1, f"a b {broken} c"), (2, "p3 p4 and p9 alone"), (3, " ".join(reversed(passage)))], [(7, " ".join(passage))]
     assert {(r[0], r[2]) for r in run(spark, docs, items)} == {("1", 0), ("2", 0), ("3", 0)}
-    near = decontaminate.proximity(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    folder = write_tables(spark, tmp_path, docs, benchmark=(items, "item_id long, text string"))
+    near = query(spark, folder, "benchmark_proximity").collect()
     assert [(r.doc_id, r.item_id, r.share) for r in near] == [(1, 7, 1.0)]
 
 
