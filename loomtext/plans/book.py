@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import audit, characters, entities, folds, graphs, retrieval, segment, style
 from ..sources import novel
-from . import extract
+from . import extract, modes, products
 from .models import Extractor, Offline
 from .runner import Runner
 
 
-def build_runner(spark: SparkSession, folder: str, source: str, *, model: Extractor | None = None, chapter: str = novel.CHAPTER, volume: str = novel.VOLUME, max_chapters: int | None = None, signals: tuple[str, ...] = ()) -> Runner:
+def build_runner(spark: SparkSession, folder: str, source: str, *, model: Extractor | None = None, chapter: str = novel.CHAPTER, volume: str = novel.VOLUME, max_chapters: int | None = None, signals: tuple[str, ...] = (), bounds: str = "rules", rounds: int = 2) -> Runner:
     """A runner with all modules for the texts at `source`; products are tables in `folder`.
 
-    Scene numbers are dense within a book; the scene_id joins book and number.
+    Scene numbers are dense within a book; the scene_id joins book and number. Scenes are cut
+    by rules, or by the model where bounds is "model"; `rounds` is how many calls a scene's
+    detailed record takes.
     """
+    if bounds not in ("rules", "model"):
+        raise ValueError(f"bounds are rules or model, not {bounds}")
     model = model or Offline()
     cache = f"{folder}/_answers"
     r = Runner(spark, folder)
@@ -24,11 +29,15 @@ def build_runner(spark: SparkSession, folder: str, source: str, *, model: Extrac
     def lines(spark, _):
         return novel.numbered_lines(novel.ingest(spark, source), chapter=chapter, volume=volume, max_chapters=max_chapters)
 
-    def scenes(_, t):
+    def scenes(spark, t):
         paras = t["paragraphs"].where("chapter_no > 0")
+        if bounds == "model":
+            return with_texts(paras, modes.model_scenes(spark, paras, ["book", "chapter_no"], "para_id", model, cache))
         broken = segment.rule_breaks(paras, ["book", "chapter_no"], "para_id", style.X.is_dialogue(F.col("text"), style.X.CJK), signals)
         broken = broken.withColumn("switch", style.X.starts_with_any(F.col("text"), signals) if signals else F.lit(False))
-        packed = segment.pack_scenes(broken, ["book", "chapter_no"], "para_id", switch="switch")
+        return with_texts(paras, segment.pack_scenes(broken, ["book", "chapter_no"], "para_id", switch="switch"))
+
+    def with_texts(paras, packed):
         texts = segment.rows_in_scenes(paras, packed, ["book", "chapter_no"], "para_id")
         raw = segment.raw_texts(texts, ["book", "chapter_no", "event_seq"], "para_id")
         out = packed.join(raw, ["book", "chapter_no", "event_seq"])
@@ -48,8 +57,22 @@ def build_runner(spark: SparkSession, folder: str, source: str, *, model: Extrac
         return t["records"].select(F.col("scene_id").alias("scene"), F.col("chapter_no").alias("chapter"), F.explode("who.name").alias("name")).distinct()
 
     def registry(spark, t):
-        texts = t["scenes"].groupBy("chapter_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("scene_id", "raw_text"))), lambda x: x["raw_text"]).alias("texts"))
-        return extract.registry(spark, texts, model, cache)
+        texts = t["scenes"].groupBy("book", "chapter_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("scene_id", "raw_text"))), lambda x: x["raw_text"]).alias("texts"))
+        return extract.registry(spark, texts, model, cache, keys=("book", "chapter_no"))
+
+    def detailed(spark, t):
+        """Records with beats, of scenes whose paragraphs are told apart by line feeds."""
+        rows = segment.previous_tail(t["scenes"], ["book"], ["chapter_no", "event_seq"], "raw_text")
+        rows = rows.select("book", "chapter_no", "scene_id", F.col("start").alias("first"), F.split("raw_text", "\n").alias("texts"), "prev_tail")
+        return modes.detailed_scenes(spark, rows, model, cache, rounds=rounds)
+
+    def cast(t):
+        counts = t["records"].select("book", "scene_id", F.explode("who.name").alias("name")).distinct().groupBy("book", "name").agg(F.count("*").alias("n")).where("n >= 3")
+        nth = F.row_number().over(W.partitionBy("book").orderBy(F.desc("n"), "name"))
+        return counts.withColumn("k", nth).where("k <= 30").select("book", "name")
+
+    def direct(spark, t):
+        return modes.direct_settings(spark, products.act_stream(t["records"], ("book", "chapter_no")), model, cache)
 
     def characters_(_, t):
         names = t["people"].groupBy("name").agg(F.min("chapter").cast("long").alias("first_seen"))
@@ -90,6 +113,11 @@ def build_runner(spark: SparkSession, folder: str, source: str, *, model: Extrac
     r.add("registry", registry, ["scenes", "records"])
     r.add("entities", characters_, ["people", "registry"])
     r.add("settings", settings, ["scenes", "registry"])
+    r.add("detailed", detailed, ["scenes", "coverage"])
+    r.add("beats", lambda _, t: modes.beat_rows(t["detailed"]), ["detailed"])
+    r.add("knowledge", lambda s, t: folds.entity_fold(modes.knowledge(s, t["records"], model, cache), ["book"]), ["records"])
+    r.add("profiles", lambda s, t: modes.profiles(s, t["records"], cast(t), model, cache), ["records"])
+    r.add("direct_settings", direct, ["records"])
     r.add("edges", lambda _, t: graphs.cooccurrence(t["people"], "scene", "name", least=2), ["people"])
     r.add("sentences", lambda _, t: style.sentence_stats(t["paragraphs"], ["book"], style.X.CJK), ["paragraphs"])
     r.add("words", lambda _, t: style.gram_words(t["paragraphs"], ["book"], (4, 3, 2), 5), ["paragraphs"])

@@ -55,14 +55,14 @@ def merged_acts(records: DataFrame) -> DataFrame:
     return records.withColumn("actinfo", run("actinfo", F.length("raw_text")))
 
 
-def registry(spark: SparkSession, by_chapter: DataFrame, model: Extractor, cache: str, *, scenes_max: int = 8, chars: int = 200, limit: int = 12) -> DataFrame:
-    """(chapter_no, canonical, aliases, category) from (chapter_no, texts), at most `limit` a chapter."""
+def registry(spark: SparkSession, by_chapter: DataFrame, model: Extractor, cache: str, *, scenes_max: int = 8, chars: int = 200, limit: int = 12, keys: Sequence[str] = ("chapter_no",)) -> DataFrame:
+    """(keys, canonical, aliases, category) from (keys, texts), at most `limit` a chapter."""
     prompt = F.array_join(F.transform(F.slice("texts", 1, scenes_max), lambda t: clipped(t, chars)), "\n")
-    got = answers(spark, by_chapter.select(F.col("chapter_no").alias("id"), prompt.alias("prompt")), "registry", model, cache)
+    got = answers(spark, by_chapter.select(F.struct(*keys).alias("id"), prompt.alias("prompt")), "registry", model, cache)
     items = F.slice(J.as_array(F.col("answer")), 1, limit)
-    rows = got.select(F.col("id").alias("chapter_no"), F.explode(items).alias("v"))
+    rows = got.select("id.*", F.explode(items).alias("v"))
     name = J.text_of(F.col("v"), ["canonical", "name"])
-    out = rows.select("chapter_no", name.alias("canonical"), clean.list_items(J.texts_of(F.col("v"), "aliases"), 10).alias("aliases"), F.coalesce(J.text_of(F.col("v"), ["category", "type"]), F.lit("")).alias("category"))
+    out = rows.select(*keys, name.alias("canonical"), clean.list_items(J.texts_of(F.col("v"), "aliases"), 10).alias("aliases"), F.coalesce(J.text_of(F.col("v"), ["category", "type"]), F.lit("")).alias("category"))
     return out.where("canonical IS NOT NULL")
 
 

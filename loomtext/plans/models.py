@@ -68,8 +68,13 @@ class Offline:
             people = [{"name": n, "role": "主事" if i == 0 else "参与"} for i, n in enumerate(names)]
             return json.dumps({"who": people, "where": "", "actinfo": acts[:12], "notes": ""}, ensure_ascii=False)
         if stage == "bounds":
-            n = len(re.findall(r"^\[\d+\]", prompt, re.M))
-            return json.dumps({"starts": list(range(10, n, 10))})
+            return json.dumps({"starts": [int(i) for i in re.findall(r"^\[(\d+)\]", prompt, re.M)[10::10]]})
+        if stage == "direct-settings":
+            return json.dumps({"settings": [{"name": n, "type": "", "description": "", "related": []} for n in names]}, ensure_ascii=False)
+        if stage in ("record", "round1", "round2"):
+            first = (re.findall(r"^\[\d+\] (.*)", prompt, re.M) or [prompt])[0]
+            people = [{"name": n, "role": "主事" if i == 0 else "参与"} for i, n in enumerate(names)]
+            return json.dumps({"who": people, "what": first[:80], "summary": first[:120], "keywords": names, "beats": [{"anchor": first, "content": first[:80]}]}, ensure_ascii=False)
         return json.dumps({"summary": prompt[:120], "names": names}, ensure_ascii=False)
 
     def answer(self, stage: str, prompts: list[str]) -> list[str | None]:
@@ -133,7 +138,7 @@ class Http:
         return None
 
 
-CACHE_SCHEMA = "key string, stage string, model string, answer string"
+CACHE_SCHEMA = "key string, model string, answer string"
 
 
 def answers(spark: SparkSession, prompts: DataFrame, stage: str, model: Extractor, cache: str, *, parallel: int = 4, batch: int = 64) -> DataFrame:
@@ -141,7 +146,12 @@ def answers(spark: SparkSession, prompts: DataFrame, stage: str, model: Extracto
 
     Only prompts without a cached answer are sent, each distinct one once, by at most
     `parallel` tasks. Failed calls stay out of the cache and are tried again next time.
+
+    Each stage has a folder of its own: writers that append to one folder at once would
+    delete each other's unfinished files, and a plan that reads one folder before and after
+    a write could take the first reading for both.
     """
+    cache = f"{cache}/stage={stage}"
     keyed = prompts.withColumn("key", content_key(F.lit(f"{stage}\x1f{model.name}"), F.col("prompt")))
     held = spark.read.schema(CACHE_SCHEMA).parquet(cache) if exists(spark, cache) else spark.createDataFrame([], CACHE_SCHEMA)
     todo = keyed.select("key", "prompt").dropDuplicates(["key"]).join(held.select("key"), "key", "left_anti")
@@ -152,7 +162,7 @@ def answers(spark: SparkSession, prompts: DataFrame, stage: str, model: Extracto
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
                 got = model.answer(stage, part["prompt"].tolist())
-                out = pd.DataFrame({"key": part["key"].tolist(), "stage": stage, "model": name, "answer": got})
+                out = pd.DataFrame({"key": part["key"].tolist(), "model": name, "answer": got})
                 yield out[out["answer"].notna()]
 
     todo.repartition(parallel).mapInPandas(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
