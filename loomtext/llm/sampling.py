@@ -17,6 +17,8 @@ def bounded_sample(labels: DataFrame, label: str, per_class: int, classes: list
 
     One scan counts the classes and one takes the ids under a hash that leaves a quarter
     more than are wanted of each, so the ranking sees a bounded number of rows a class.
+    The counts go to where rows are read, so that no other row is shuffled: there is one a
+    class, and the model that the driver holds has a row for each, too.
     classes names those to take; else all are.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -26,7 +28,7 @@ def bounded_sample(labels: DataFrame, label: str, per_class: int, classes: list
     sizes = rows.groupBy("label").agg(F.approx_count_distinct("doc_id", 0.02).alias("_n"))
     limit = ((per_class * 1.25 + 200) / F.col("_n") * float(1 << 40)).cast("double")
     sizes = sizes.select(F.col("label").alias("_l"), F.least(limit, F.lit(float(1 << 40))).alias("_most"))
-    some = rows.join(sizes, F.col("label") == F.col("_l")).where("_h < _most").select("doc_id", "label", "_h").distinct()
+    some = rows.join(F.broadcast(sizes), F.col("label") == F.col("_l")).where("_h < _most").select("doc_id", "label", "_h").distinct()
     nth = F.row_number().over(W.partitionBy("label").orderBy("_h", "doc_id"))
     return some.withColumn("_k", nth).where(F.col("_k") <= per_class).select("doc_id", "label")
 
