@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.clean import UNKNOWN
 from ..operators import audit, characters, entities, folds, graphs, retrieval, segment, style
 from ..sources import novel
 from . import extract, modes, products
@@ -95,11 +98,34 @@ def build_runner(spark: SparkSession, folder: str, source: str, *, model: Extrac
             item = F.to_json(F.struct(*df.columns))
             return df.groupBy().agg(F.lit(name).alias("section"), F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(item)), ","), F.lit("]")).alias("json"))
 
-        top = characters.top_characters(t["facts"]).select("name", F.size("appearances").alias("n"))
-        out = section("chapters", t["chapters"].select("book", "chapter_no", "title"))
-        for name, df in (("characters", top), ("edges", t["edges"]), ("settings", characters.top_settings(t["settings"]).select("name", "category", "definition")), ("style", t["sentences"])):
-            out = out.unionByName(section(name, df))
-        return out
+        records, chapter = t["records"], ["book", "chapter_no"]
+        texts = t["paragraphs"].where("chapter_no > 0")
+        events = t["profiles"].select("book", F.col("name").alias("who"), F.explode("events").alias("text"))
+        events = events.withColumn("chapter_no", F.regexp_extract("text", "^第([0-9]+)", 1).try_cast("int")).where("chapter_no IS NOT NULL")
+        nodes, edges = graphs.truncated(graphs.weighted_nodes(graphs.nodes(t["people"]), t["edges"]), t["edges"])
+        sections = {
+            "book": t["chapters"].groupBy("book").agg(F.count("*").alias("chapters")),
+            "chapters": t["chapters"].select("book", "chapter_no", "title"),
+            "timeline": events.groupBy(*chapter).agg(F.array_sort(F.collect_list(F.struct("text", "who"))).alias("events")),
+            "outlines": t["outlines"],
+            "tags": new_names(records, t["settings"]),
+            "characters": characters.top_characters(t["facts"]).select("name", F.size("appearances").alias("n")),
+            "nodes": nodes,
+            "edges": edges,
+            "settings": characters.top_settings(t["settings"]).select("name", "category", "definition"),
+            "style": t["sentences"],
+            "chapter_style": style.sentence_stats(texts, chapter, style.X.CJK),
+        }
+        return reduce(DataFrame.unionByName, [section(name, df) for name, df in sections.items()])
+
+    def new_names(records, terms):
+        """(book, chapter_no, kind, names): the people, places and settings that a chapter is the first to have."""
+        people = records.select("book", "chapter_no", F.lit("people").alias("kind"), F.explode("who.name").alias("name"))
+        places = records.where(F.col("where") != UNKNOWN).select("book", "chapter_no", F.lit("places").alias("kind"), F.col("where").alias("name"))
+        found = terms.select(F.col("name"), F.explode("source_scenes").alias("scene_id")).join(records.select("scene_id", "book", "chapter_no"), "scene_id")
+        rows = people.union(places).union(found.select("book", "chapter_no", F.lit("settings").alias("kind"), "name"))
+        first = rows.groupBy("book", "kind", "name").agg(F.min("chapter_no").alias("chapter_no"))
+        return first.groupBy("book", "chapter_no", "kind").agg(F.array_sort(F.collect_list("name")).alias("names"))
 
     r.add("lines", lines)
     r.add("paragraphs", lambda _, t: novel.paragraphs(t["lines"]), ["lines"])
@@ -118,9 +144,10 @@ def build_runner(spark: SparkSession, folder: str, source: str, *, model: Extrac
     r.add("knowledge", lambda s, t: folds.entity_fold(modes.knowledge(s, t["records"], model, cache), ["book"]), ["records"])
     r.add("profiles", lambda s, t: modes.profiles(s, t["records"], cast(t), model, cache), ["records"])
     r.add("direct_settings", direct, ["records"])
+    r.add("outlines", lambda s, t: products.outlines(s, t["records"], model, cache, keys=("book", "chapter_no")), ["records"])
     r.add("edges", lambda _, t: graphs.cooccurrence(t["people"], "scene", "name", least=2), ["people"])
     r.add("sentences", lambda _, t: style.sentence_stats(t["paragraphs"], ["book"], style.X.CJK), ["paragraphs"])
     r.add("words", lambda _, t: style.gram_words(t["paragraphs"], ["book"], (4, 3, 2), 5), ["paragraphs"])
     r.add("postings", search, ["records"])
-    r.add("detail", detail, ["chapters", "facts", "edges", "settings", "sentences"])
+    r.add("detail", detail, ["paragraphs", "chapters", "records", "people", "facts", "edges", "settings", "sentences", "outlines", "profiles"])
     return r

@@ -26,10 +26,10 @@ def act_stream(records: DataFrame, keys: Sequence[str] = ("chapter_no",)) -> Dat
     return records.where("extract_status = 'ok'").groupBy(*keys).agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))
 
 
-def outlines(spark: SparkSession, records: DataFrame, model: Extractor, cache: str, *, chars: int = 8000) -> DataFrame:
-    """(chapter_no, summary): one outline a chapter."""
-    rows = act_stream(records).select(F.col("chapter_no").alias("id"), "text")
-    return summaries(spark, rows, "outline", model, cache, chars=chars).select(F.col("id").alias("chapter_no"), "summary")
+def outlines(spark: SparkSession, records: DataFrame, model: Extractor, cache: str, *, chars: int = 8000, keys: Sequence[str] = ("chapter_no",)) -> DataFrame:
+    """(keys, summary): one outline a chapter."""
+    rows = act_stream(records, keys).select(F.struct(*keys).alias("id"), "text")
+    return summaries(spark, rows, "outline", model, cache, chars=chars).select("id.*", "summary")
 
 
 def book_summary(spark: SparkSession, outline_rows: DataFrame, model: Extractor, cache: str, *, chars: int = 8000) -> DataFrame:

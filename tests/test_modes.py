@@ -131,3 +131,9 @@ def test_two_books(spark, tmp_path):
     reg = {(r.book, r.canonical) for r in read("registry").collect()}
     assert ("x", "Orrin") in reg and ("y", "Orrin") not in reg
     assert spark.read.parquet(f"{folder}/beats").count() == read("detailed").count()
+    sections = {r.section: json.loads(r.json) for r in spark.read.parquet(f"{folder}/detail").collect()}
+    assert set(sections) == {"book", "chapters", "timeline", "outlines", "tags", "characters", "nodes", "edges", "settings", "style", "chapter_style"}
+    assert {(x["book"][-5], x["chapters"]) for x in sections["book"]} == {("x", 2), ("y", 2)}
+    assert len(sections["outlines"]) == len(sections["chapter_style"]) == 4
+    new = {(x["book"][-5], x["chapter_no"], x["kind"]): x["names"] for x in sections["tags"]}
+    assert "Orrin" in new["x", 1, "people"] and "Orrin" not in new["y", 1, "people"] and "Maren" in new["y", 1, "settings"]
