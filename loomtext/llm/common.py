@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +129,26 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def keeps(name: str, clear: Callable[[], object]) -> None:
+    """In a Python worker: an operator begins, and what others keep in this process goes.
+
+    Workers serve the tasks of all stages, so they would hold the caches of each at once.
+    """
+    others = [k for k in _kept if k != name]
+    for k in others:
+        _kept.pop(k)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    _kept[name] = clear
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and leave all other characters as they are."""
     return F.translate(col, UPPER, LOWER)

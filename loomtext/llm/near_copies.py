@@ -1,11 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash fingerprints, completed by exact Jaccard similarity of word shingles.
 
 A text is the set of its shingles of five words, as 64-bit hashes; words are those of the
 SimHash operator. Two rows link when the similarity of their sets is 0.8 or more, and a
 group is whatever links reach. Fewer words than the shingle size make one shingle of all;
 texts without words are equal.
 
-Search: with one order of all shingles, sets of similarity 0.8 share one of the first
+Search: first by the method of the SimHash operator. Every text has a fingerprint of its
+shingles; rows with one fingerprint, and fingerprints within two bits by deletion variants,
+are candidates, of which those with the similarity link. Most pairs of similarity 0.8 are
+about ten bits apart, which variants do not reach, so an exact search finds the others; what
+fingerprints have connected is not verified there again.
+
+The exact search: with one order of all shingles, sets of similarity 0.8 share one of the first
 n - ceil(0.8 n) + 1 shingles of each. These prefixes are indexed, so no link is lost.
 Any order does; rare shingles come first, by counts in a tenth of the rows, of which the
 `COMMON_SHINGLES` most frequent are sent; that only bears on the work and never on the
@@ -41,9 +47,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, renamed, scope, setting
+from .common import keeps, materialize, numbered, renamed, scope, setting
 from .graph import connected_components
-from .simhash import _filter
+from .simhash import _filter, fingerprint
+from .simhash import links as fingerprint_links
 
 SHINGLE_WORDS = 5
 BUCKET = 24
@@ -125,6 +132,7 @@ def _sets(held: DataFrame, shingle: int, bits: bytes | None = None) -> DataFrame
     sent = held.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("near_copies", _hashes.clear)
         for batch in batches:
             take = np.ones(batch.num_rows, bool) if sent.value is None else _held(sent.value, batch.column(0).to_numpy().view(np.uint64))
             some = batch.filter(pa.array(take))
@@ -144,15 +152,18 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int) -> DataFrame:
-    """(row, n, keys, bits): the size of the set, its first shingles in the common order and its sketch."""
+    """(row, n, keys, bits, fp): the size of the set, its first shingles in the common order, its sketch, the text's fingerprint."""
     sent = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("near_copies", _hashes.clear)
         keys, seen = sent.value
         for batch in batches:
-            sizes, first, bits = [], [], []
-            for raw in batch.column(1):
-                s = shingles(raw.as_py(), shingle)
+            sizes, first, bits, fps = [], [], [], np.zeros(batch.num_rows, np.uint64)
+            for i, raw in enumerate(batch.column(1)):
+                text = raw.as_py()
+                fps[i] = fingerprint(text, shingle)
+                s = shingles(text, shingle)
                 n = len(s)
                 bits.append(sketch(s))
                 if len(keys):
@@ -160,10 +171,20 @@ def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle:
                     s = s[np.argsort(np.where(keys[at] == s, seen[at], 0), kind="stable")]
                 sizes.append(n)
                 first.append(s[: n - (4 * n + 4) // 5 + 1])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), _lists(first), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "keys", "bits"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), _lists(first), pa.array(bits, pa.binary()), pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "keys", "bits", "fp"])
+
+    return texts.mapInArrow(run, "row long, n long, keys array<long>, bits binary, fp long")
+
 
-    return texts.mapInArrow(run, "row long, n long, keys array<long>, bits binary")
+def by_fingerprints(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows whose closure links all (row, fp) with fingerprints within two bits of each other."""
+    fps = materialize(rows.groupBy("fp").agg(F.min("row").alias("least")), "near-fps")
+    ends = fps.select(F.col("fp").alias("f"), "least")
+    same = rows.join(ends, F.col("fp") == F.col("f")).where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"))
+    near = fingerprint_links(fps.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    near = near.join(ends.select(F.col("f").alias("x"), F.col("least").alias("a")), "x").join(ends.select(F.col("f").alias("y"), F.col("least").alias("b")), "y")
+    return materialize(same.union(near.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "near-fingerprints")
 
 
 def _members(prefixes: DataFrame, bits: bytes) -> DataFrame:
@@ -255,6 +276,15 @@ def _met(left: DataFrame, right: DataFrame, marks: DataFrame, roots: DataFrame)
         return materialize(pairs.distinct(), "near-met")
 
 
+def _unconnected(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose rows the links found do not connect."""
+    if found.isEmpty():
+        return pairs
+    of = materialize(connected_components(found), "near-first")
+    ends = pairs.join(of.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    return ends.where("x IS NULL OR y IS NULL OR x <> y").select("a", "b")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
@@ -310,10 +340,12 @@ def links(texts: DataFrame, *, shingle: int = SHINGLE_WORDS, bucket: int = BUCKE
     mine = warm.select("key", F.col("row").alias("a"), F.col("n").alias("m"), F.col("at").alias("p"))
     pairs = mine.join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & early).select("a", "b")
     marks = prefixes.select("row", "n", "bits")
+    close = _judged(by_fingerprints(prefixes.select("row", "fp")), marks).where("link")
     judged = _judged(two.union(pairs), marks).where("link")
-    rows = judged.select(F.explode(F.array("a", "b")).alias("key")).union(hot.select("row")).distinct()
+    rows = close.union(judged).select(F.explode(F.array("a", "b")).alias("key")).union(hot.select("row")).distinct()
     sets = materialize(_sets(texts, shingle, _filter(rows)), "near-sets")
-    found = [_linked(judged, sets)]
+    first = _linked(close, sets)
+    found = [first, _linked(_unconnected(judged, first), sets)]
     return _union(found if hot.isEmpty() else found + _hot(hot, marks, sets, found, rounds))
 
 

@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keeps
+
 LIMIT = 4096
 END_ID = 2
 SENTENCE, HARD, EACH = 8, 48, 16
@@ -322,6 +324,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, limit: int = LIM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        keeps("packing", encoder.cache_clear)
         own = encoder(tokenizer_path)
         packer = Packer(own.stops, limit, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4").tobytes()

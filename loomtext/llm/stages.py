@@ -59,7 +59,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity 0.8 over five-word shingles), the row with the smallest doc_id."""
+    """Of each group of near copies (similarity 0.8 over five-word shingles), the row with the smallest doc_id.
+
+    SimHash fingerprints and their deletion variants find near copies first, verified on whole
+    shingle sets; an exact search finds those that fingerprints do not reach.
+    """
     from . import near_copies as op
 
     small_batches(spark)

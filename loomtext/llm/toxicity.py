@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keeps, materialize
 from .sampling import bounded_sample, fold, sampled_texts
 
 POSITIVES, NEGATIVES, LEXICON, FOLDS = 3000, 6000, 2000, 4
@@ -349,6 +349,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((model.prior, model.lexicon.words, model.lexicon.begins, model.forest, model.knots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("toxicity", dict)
         prior, words, begins, forest, knots = held.value
         local = Model(prior, Lexicon(words, begins), forest, knots)
         for batch in batches:
@@ -366,6 +367,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     ddl = ", ".join(f"c{i} {docs.schema[name].dataType.simpleString()}" for i, name in enumerate(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("toxicity", dict)
         prior, words, begins, forest, knots = held.value
         local = Model(prior, Lexicon(words, begins), forest, knots)
         for batch in batches:

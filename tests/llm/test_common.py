@@ -32,3 +32,13 @@ def test_batches_get_smaller_only(spark):
     common.small_batches(spark, 900)
     assert spark.conf.get(key) == "700"
     spark.conf.unset(key)
+
+
+def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
+    gone = []
+    monkeypatch.setattr(common, "_kept", {})
+    common.keeps("a", lambda: gone.append("a"))
+    common.keeps("a", lambda: gone.append("a"))
+    assert gone == []
+    common.keeps("b", lambda: gone.append("b"))
+    assert gone == ["a"]

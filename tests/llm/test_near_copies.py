@@ -1,6 +1,6 @@
 import random
 
-from loomtext.llm import near_copies, stages
+from loomtext.llm import near_copies, simhash, stages
 
 from .helpers import AWKWARD, table
 from .test_simhash import closure
@@ -62,3 +62,28 @@ def test_awkward_rows_and_repeated_ids(spark):
     assert got.columns == table(spark, []).columns
     assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted((rows[i][0] or -1, rows[i][1] or "") for i in brute(rows))
     assert near_copies.dedup(table(spark, [])).count() == 0
+
+
+def test_fingerprints_find_candidates_of_the_stage(spark, monkeypatch):
+    rng = random.Random(11)
+    long = [" ".join(f"w{rng.randrange(500)}" for _ in range(600)) for _ in range(8)]
+    texts = [t for base in long for t in (base, base + " end", base.upper(), "x " + base)] + ["w1 w2 w3 w4 w5 w6"] * 3
+    rows = [(i, simhash.fingerprint(t.encode(), 5)) for i, t in enumerate(texts)]
+    want = closure([(i, j) for i, x in rows for j, y in rows if i < j and (x ^ y).bit_count() <= 2], range(len(rows)))
+    assert len(set(want.values())) < len(rows) - 10
+    signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in rows]
+    got = near_copies.by_fingerprints(spark.createDataFrame(signed, "row long, fp long"))
+    assert closure([(r.a, r.b) for r in got.collect()], range(len(rows))) == want
+
+    asked = []
+    monkeypatch.setattr(near_copies, "by_fingerprints", lambda x: asked.append(x.columns) or got.where("false"))
+    stay = {rows[i][0] for i in brute(list(enumerate(texts)))}
+    assert {r.doc_id for r in stages.simhash_near_dedup(spark, table(spark, list(enumerate(texts))), "").collect()} == stay
+    assert asked == [["row", "fp"]]
+
+
+def test_a_fingerprint_alone_links_nothing(spark):
+    line = "the same five words again and again "
+    texts = [line * 300 + " ".join(f"{c}{i}" for i in range(60)) for c in "ab"]  # one fingerprint, few shingles in common
+    assert (simhash.fingerprint(texts[0].encode(), 5) ^ simhash.fingerprint(texts[1].encode(), 5)).bit_count() <= 2
+    assert stages.simhash_near_dedup(spark, table(spark, list(enumerate(texts))), "").count() == 2
