@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that executors share: spark.checkpoint.dir, else one in the warehouse, or a temporary one in a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+    return f"file://{tempfile.mkdtemp(prefix='loomtext-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the shared checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-            root = f"file://{tempfile.mkdtemp(prefix='loomtext-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 

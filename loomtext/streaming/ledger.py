@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import shared_root
+
 
 def totals(usage: DataFrame) -> DataFrame:
     """Running totals by model of (model, prompt); complete or update output mode."""
@@ -27,7 +29,23 @@ def _source(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """The result of the last batch, as the executors have written it: none of it goes through the driver.
+
+    In complete mode every batch has the whole result, so only the newest folder stays.
+    """
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    written: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        folder = f"{root}/batch-{number}"
+        batch.write.mode("overwrite").parquet(folder)
+        old, written[:] = [x for x in written if x != folder], [folder]
+        for x in old:
+            path = spark._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not written:  # no file, no batch
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(written[0])
