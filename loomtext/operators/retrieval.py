@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,21 +79,106 @@ def nearest(vectors: DataFrame, key: str, vec: str, query: Sequence[float], limi
     return scored.orderBy(F.desc("score"), F.desc(key)).limit(limit)
 
 
+def _rounded(x: float) -> float:
+    """Six decimals, halves up in the decimal notation of x, as round() of the engine."""
+    return float(Decimal(repr(float(x))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) + 0.0
+
+
+def _sequential(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed in order as vectors.dot() does, so that no digit differs from it."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out = out + x[:, d] * y[:, d]
+    return out
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _plain(vec: str, dim: int) -> Column:
+    """Vectors of dim finite numbers, none too small or large to be squared; false for null."""
+    size = F.expr(f"aggregate(`{vec}`, 0D, (s, x) -> s + cast(x AS DOUBLE) * cast(x AS DOUBLE))")
+    return F.coalesce((F.size(vec) == dim) & ((size == 0) | size.between(1e-200, 1e200)), F.lit(False))
+
+
+def _best_plain(vectors: DataFrame, part: DataFrame, key: str, query: str, vec: str, limit: int) -> DataFrame:
+    """(query, key, score): of each batch of vectors, the best `limit` of every query, ties included by key.
+
+    A matrix product finds what may be among the best, with a margin far over its error; those
+    are scored again in the order of vectors.dot(), so the choice is exact. Equal vectors of a
+    batch count once, with their largest keys.
+    """
+    table = part.select(F.col(query), F.col(vec)).toArrow()
+    names, matrix = table.column(0).combine_chunks(), _matrix(table.column(1).combine_chunks(), len(table.column(1)[0]))
+    sent = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+    dim = matrix.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        q_norm = np.sqrt(_sequential(q, q))
+        unit = q / np.where(q_norm == 0, 1, q_norm)[:, None]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            order = pc.sort_indices(batch.column(0), sort_keys=[("", "descending")]).to_numpy()  # large keys first
+            x = _matrix(batch.column(1), dim)[order]
+            _, of = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, 8 * dim))).ravel(), return_inverse=True)
+            by = np.argsort(of, kind="stable")
+            starts = np.flatnonzero(np.diff(of[by], prepend=-1))
+            ends = np.append(starts[1:], len(by))
+            x = x[by[starts]]  # distinct vectors
+            norm = np.sqrt(_sequential(x, x))
+            own = x / np.where(norm == 0, 1, norm)[:, None]
+            asked, met, scores = [], [], []
+            for at in range(0, len(q), 256):
+                near = unit[at : at + 256] @ own.T
+                k = min(limit, near.shape[1])
+                floor = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - 3e-6
+                i, j = np.nonzero(near >= floor[:, None])
+                scale = norm[j] * q_norm[at + i]
+                dots = np.concatenate([_sequential(x[j[n : n + 65536]], q[at + i[n : n + 65536]]) for n in range(0, len(j), 65536)])
+                score = np.where(scale == 0, 0.0, dots / np.where(scale == 0, 1, scale))
+                for row in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+                    places = [(-_rounded(score[c]), p, c) for c in row.tolist() for p in by[starts[j[c]] : min(ends[j[c]], starts[j[c]] + limit)].tolist()]
+                    for _, p, c in heapq.nsmallest(limit, places):
+                        asked.append(at + i[c])
+                        met.append(order[p])
+                        scores.append(score[c])
+            columns = [names.take(pa.array(asked, pa.int64())), batch.column(0).take(pa.array(met, pa.int64())), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["q", "k", "score"])
+
+    kinds = part.schema[query].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    out = vectors.select(key, vec).mapInArrow(run, f"q {kinds[0]}, k {kinds[1]}, score double")
+    return out.select(F.col("q").alias(query), F.col("k").alias(key), F.round("score", 6).alias("score"))
+
+
 def nearest_each(vectors: DataFrame, queries: DataFrame, key: str, query: str, vec: str, limit: int = 10, max_queries: int = 10_000) -> DataFrame:
     """(query, key, score, rank) of a table of queries, in blocks of about `max_queries` at most.
 
-    The queries of a block travel as one array to every task, so that a vector meets all of them in
-    one pass; the best of each query are ranked with partial top-k lists per task.
+    The queries of a block are sent to every task, where vectors meet them as matrices. What is no
+    plain vector of numbers, as long as most are, meets the others in a join instead.
     """
     order = W.partitionBy(query).orderBy(F.desc("score"), F.desc(key))
+    lengths = queries.groupBy(F.size(vec).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    dim = lengths["n"] if lengths is not None and lengths["n"] is not None and lengths["n"] > 0 else 0
+    plain = _plain(vec, dim) if dim else F.lit(False)
+    fit, odd = vectors.where(plain), vectors.where(~plain)
+    sure, other = queries.where(plain), queries.where(~plain)
 
-    def best(part: DataFrame) -> DataFrame:
+    def joined(some: DataFrame, part: DataFrame) -> DataFrame:
         q = part.select(F.col(query).alias("_q"), F.col(vec).alias("_v"))
-        met = vectors.select(key, F.col(vec).alias("_x")).join(F.broadcast(q), F.lit(True))
-        scored = met.select(F.col("_q").alias(query), key, F.round(V.cosine(F.col("_x"), F.col("_v")), 6).alias("score"))
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-
-    return reduce(DataFrame.union, [best(part) for part in in_blocks(queries, query, max_queries)])
+        met = some.select(key, F.col(vec).alias("_x")).join(F.broadcast(q), F.lit(True))
+        return met.select(F.col("_q").alias(query), key, F.round(V.cosine(F.col("_x"), F.col("_v")), 6).alias("score"))
+
+    scored = []
+    if not sure.isEmpty():
+        scored += [_best_plain(fit, part, key, query, vec, limit) for part in in_blocks(sure, query, max_queries) if not part.isEmpty()]
+        if not odd.isEmpty():
+            scored += [joined(odd, part) for part in in_blocks(sure, query, max_queries)]
+    if not other.isEmpty() or not scored:
+        scored += [joined(vectors, part) for part in in_blocks(other, query, max_queries)]
+    return reduce(DataFrame.union, scored).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def embed_cached(texts: DataFrame, cache: DataFrame, model: str, embed=V.hashed_bigrams) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,9 @@
 import random
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from loomtext.functions import vectors as V
 from loomtext.operators import retrieval
 
 
@@ -34,3 +38,20 @@ def test_column_names_and_upsert_after_a_broken_run(spark, tmp_path):
     os.rename(path, f"{path}.aside")  # a run that ended before the new table was in place
     put((3, 3, "d"))
     assert read() == [(1, "a"), (2, "c"), (3, "d")] and os.listdir(tmp_path) == ["t"]
+
+
+def test_nearest_each_equals_every_pair(spark):
+    rng = random.Random(8)
+    few = [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(12)]  # many equal vectors and scores
+    rows = [(i, few[i % 12] if i % 3 else [rng.uniform(-1, 1) for _ in range(3)]) for i in range(300)]
+    rows += [(900, None), (901, [0.0, 0.0, 0.0]), (902, [1.0, 2.0]), (903, [float("nan"), 1.0, 1.0]), (904, [1.0, None, 1.0])]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    queries = vectors.selectExpr("id AS q", "v").where("q % 10 = 0 OR q > 899")
+    pairs = vectors.crossJoin(queries.withColumnRenamed("v", "w")).select("q", "id", F.round(V.cosine(F.col("v"), F.col("w")), 6).alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("id"))
+    want = pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 4")
+    plain = lambda df: sorted(map(repr, df.collect()))
+    got = retrieval.nearest_each(vectors, queries, "id", "q", "v", 4)
+    assert plain(got) == plain(want)
+    alone = retrieval.nearest_each(vectors.where("id < 300"), queries.where("q < 300"), "id", "q", "v", 4)
+    assert "NestedLoop" not in alone._jdf.queryExecution().toString()  # no row for every pair
