@@ -34,7 +34,7 @@ def facts(acts: DataFrame, people: DataFrame, *, keep: int = 12, chars: int = 80
     seen = did.groupBy("who").agg(F.array_sort(F.collect_set(F.struct("chapter", "scene"))).alias("appearances"))
     said = _last_texts(did.where("channel = 'say'"), "sayings", keep, chars)
     done = _last_texts(did.where("channel <> 'say'"), "doings", keep, chars)
-    met = directed_cooccurrence(did, people, "scene", "who", "name")
+    met = directed_cooccurrence(did, people, "scene", "who", "name", best=partners)
     order = W.partitionBy("actor").orderBy(F.desc("acts"), "other")
     top = met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= partners)
     with_ = top.groupBy(F.col("actor").alias("who")).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("_k", "other", "acts"))), lambda x: F.struct(x["other"], x["acts"]))).alias("co_occurrences"))

@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import meetings
+from .components import _checkpointed
 
-def cooccurrence(members: DataFrame, scene: str, name: str, *, least: int = 2, without: DataFrame | None = None, max_group: int | None = None) -> DataFrame:
+
+def _together(members: DataFrame, scene: str, name: str) -> DataFrame:
+    rows = members.select(F.col(scene).alias("s"), F.col(name).alias("n")).where("s IS NOT NULL AND n IS NOT NULL").distinct()
+    return rows.select("s", "n", F.lit(0).cast("long").alias("acts"), F.lit(1).alias("there"))
+
+
+def cooccurrence(members: DataFrame, scene: str, name: str, *, least: int = 2, without: DataFrame | None = None, max_group: int | None = None, joined: int = meetings.JOINED) -> DataFrame:
     """(a, b, weight), a < b: pairs of names and the number of scenes that hold both.
 
-    A scene's names are few by nature; max_group, if given, guards that by raising
+    A join has a row for each pair and scene; if those are many over `joined`, blocks of names
+    count their pairs instead. A scene's names are few by nature in a book; max_group, if given, guards that by raising
     instead of dropping. without: pairs (a, b) that have an explicit relation.
     """
     rows = members.select(F.col(scene).alias("_s"), F.col(name).alias("_n")).where("_n IS NOT NULL").distinct()
@@ -18,22 +27,40 @@ def cooccurrence(members: DataFrame, scene: str, name: str, *, least: int = 2, w
         worst = rows.groupBy("_s").count().agg(F.max("count")).first()[0] or 0
         if worst > max_group:
             raise ValueError(f"a scene has {worst} names, over the limit of {max_group}")
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x._s") == F.col("y._s")) & (F.col("x._n") < F.col("y._n")))
-    out = pairs.groupBy(F.col("x._n").alias("a"), F.col("y._n").alias("b")).agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    held = _together(rows, "_s", "_n")
+    blocks = meetings.blocks_for(held, joined)
+    if blocks:
+        out = meetings.pairs(held, blocks, least)
+    else:
+        pairs = rows.alias("x").join(rows.alias("y"), (F.col("x._s") == F.col("y._s")) & (F.col("x._n") < F.col("y._n")))
+        out = pairs.groupBy(F.col("x._n").alias("a"), F.col("y._n").alias("b")).agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
     if without is None:
         return out
     bad = without.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return out.join(bad, ["a", "b"], "left_anti")
 
 
-def directed_cooccurrence(acts: DataFrame, members: DataFrame, scene: str, actor: str, name: str) -> DataFrame:
+def cooccurrence_degrees(members: DataFrame, scene: str, name: str, *, least: int = 2, joined: int = meetings.JOINED) -> DataFrame:
+    """(name, degree): the edges of cooccurrence() at each name, which are only made if they are few."""
+    held = _together(members, scene, name)
+    blocks = meetings.blocks_for(held, joined)
+    return meetings.partners(held, blocks, least) if blocks else degrees(cooccurrence(members, scene, name, least=least))
+
+
+def directed_cooccurrence(acts: DataFrame, members: DataFrame, scene: str, actor: str, name: str, *, best: int | None = None, joined: int = meetings.JOINED) -> DataFrame:
     """(actor, other, acts): for each act, its actor meets every other name of the scene.
 
     Acts are counted per scene and actor before the join, so the join has one row per
-    pair of names and scene, not per act.
+    pair of names and scene, not per act; if those are many over `joined`, blocks of names
+    count their meetings instead. best: only the first so many others of each actor are
+    needed, by acts and name; there may be more.
     """
     did = acts.groupBy(F.col(scene).alias("_s"), F.col(actor).alias("actor")).agg(F.count("*").alias("_n"))
     there = members.select(F.col(scene).alias("_s"), F.col(name).alias("other")).distinct()
+    held = meetings.together(did.select(F.col("_s").alias("s"), F.col("actor").alias("n"), F.col("_n").alias("acts")), there.select(F.col("_s").alias("s"), F.col("other").alias("n")))
+    blocks = meetings.blocks_for(held, joined)
+    if blocks:
+        return meetings.directed(held, blocks, best)
     met = did.join(there, "_s").where("actor <> other")
     return met.groupBy("actor", "other").agg(F.sum("_n").alias("acts"))
 
@@ -79,9 +106,9 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count("*").alias("degree"))
 
 
-def weighted_nodes(node_table: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with degree and weight, chapters plus degree."""
-    out = node_table.join(degrees(edges), "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
+def weighted_nodes(node_table: DataFrame, edges: DataFrame | None = None, degree: DataFrame | None = None) -> DataFrame:
+    """Nodes with degree and weight, chapters plus degree; the degrees of edges, or (name, degree)."""
+    out = node_table.join(degrees(edges) if degree is None else degree, "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
     return out.withColumn("weight", (F.size("chapters") + F.col("degree")).cast("long"))
 
 
@@ -96,6 +123,14 @@ def truncated(node_table: DataFrame, edges: DataFrame, top: int = 600, always: C
     return kept, left.select(*edges.columns)
 
 
+def truncated_cooccurrence(node_table: DataFrame, members: DataFrame, scene: str, name: str, *, least: int = 2, top: int = 600, joined: int = meetings.JOINED) -> tuple[DataFrame, DataFrame]:
+    """truncated() over the edges of cooccurrence(), of which only those between kept nodes are made."""
+    weighted = weighted_nodes(node_table, degree=cooccurrence_degrees(members, scene, name, least=least, joined=joined))
+    kept = _checkpointed(weighted.orderBy(F.desc("weight"), "name").limit(top))
+    inner = members.join(kept.select(F.col("name").alias(name)), name, "left_semi")
+    return kept, cooccurrence(inner, scene, name, least=least, joined=joined)
+
+
 def timeline(events: DataFrame, chapter: str, text: str, order: str) -> DataFrame:
     """(chapter, events): texts of a chapter in order."""
     rows = F.array_sort(F.collect_list(F.struct(order, text)))

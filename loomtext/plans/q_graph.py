@@ -130,9 +130,8 @@ def degree_weight(spark, d):
 
 
 def graph_truncate(spark, d):
-    edges = cooccur_pairs(spark, d)
     members = _acts(spark, d).select(F.col("who").alias("name"), "chapter")
-    return graphs.truncated(graphs.weighted_nodes(graphs.nodes(members), edges), edges, 40)[1]
+    return graphs.truncated_cooccurrence(graphs.nodes(members), _cast(spark, d), "scene", "name", least=3, top=40)[1]
 
 
 def timeline(spark, d):
